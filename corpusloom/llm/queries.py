@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, mixing, sharding
+from corpusloom.llm import chat, mixing, packing, sharding, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_tokens": tokencount.op3_tokens,
     "op5_chat": chat.op5_chat,
     "op7_mixing": mixing.op7_mixing,
+    "op8_packing": packing.op8_packing,
     "op10_sharding": sharding.op10_sharding,
 }
 
