@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, mixing, packing, sharding, tokencount
+from corpusloom.llm import chat, mixing, packing, sharding, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tokens": tokencount.op3_tokens,
     "op5_chat": chat.op5_chat,
+    "op6_simhash": simhash.op6_simhash,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
     "op10_sharding": sharding.op10_sharding,
