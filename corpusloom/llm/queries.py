@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, mixing, packing, sharding, simhash, tokencount
+from corpusloom.llm import chat, mixing, packing, sharding, simhash, tokencount, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_topk": topk.op2_topk,
     "op3_tokens": tokencount.op3_tokens,
     "op5_chat": chat.op5_chat,
     "op6_simhash": simhash.op6_simhash,
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_topk": topk.OP2_SQL,
     "op5_chat": chat.OP5_SQL,
 }
