@@ -55,11 +55,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, max_passes: int = MAX_PASSES, seed: int = 42) -> DataFrame:
     """The mix: rows (shard, slot, sid, pass_no, block)."""
+    width = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     s = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block_words)))
     s = s.withColumn("n_slots", F.least(F.round(F.col("target") * F.col("n_blocks") / F.greatest(F.col("source_size"), F.lit(1))).cast("long"), F.col("n_blocks") * F.lit(max_passes)))
     s = s.withColumn("first", F.coalesce(F.sum("n_slots").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     s = s.withColumn("all_slots", F.sum("n_slots").over(Window.partitionBy(F.lit(0)))).where("n_slots > 0")
-    k = s.select("sid", "n_blocks", "n_slots", "first", "all_slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / F.lit(CHUNK)))).alias("chunk")).repartition("sid", "chunk")
+    k = s.select("sid", "n_blocks", "n_slots", "first", "all_slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / F.lit(CHUNK)))).alias("chunk")).repartition(width, "sid", "chunk")
     low = F.col("chunk") * CHUNK
     k = k.select("sid", "n_blocks", "first", "all_slots", F.explode(F.sequence(low, F.least(low + (CHUNK - 1), F.col("n_slots") - 1))).alias("k"))
     k = k.select("*", (F.col("first") + F.col("k")).alias("g"), F.pmod(F.col("k"), F.col("n_blocks")).alias("i"), F.floor(F.col("k") / F.col("n_blocks")).alias("pass_no"))
@@ -96,19 +97,20 @@ def planned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Rows (shard, slot, sid, pass_no, block, doc_id, start, word_start, n_words): what each slot reads."""
     rows, sources = planned(df, id_col, text_col, source_col)
+    # Sizes after explode are underestimated; the hints keep such sides from being broadcast.
     p = pieces(rows).select("sid", "block", "doc_id", "start", "word_start", "n_words")
-    return slots(sources).join(p, ["sid", "block"])
+    return slots(sources).hint("merge").join(p, ["sid", "block"])
 
 
 def taken(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: how many of its words the mix takes, repeats counted."""
     rows, sources = planned(df, id_col, text_col, source_col)
-    times = slots(sources).groupBy("sid", "block").agg(F.count("*").alias("times"))
+    times = slots(sources).groupBy("sid", "block").agg(F.count("*").alias("times")).hint("merge")
     got = pieces(rows).join(times, ["sid", "block"]).groupBy("sid", "start", "doc_id").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
     # Documents of size 0 share a start with the one after them but take no words.
     got = got.select(F.col("sid").alias("__s"), F.col("start").alias("__p"), F.col("doc_id").alias("__d"), "taken")
     same = (F.col("sid") == F.col("__s")) & (F.col("start") == F.col("__p")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("size") > 0)
-    return rows.join(got, same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(got.hint("merge"), same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
