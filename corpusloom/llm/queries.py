@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, mixing, packing, sharding, simhash, tokencount, topk
+from corpusloom.llm import chat, mixing, packing, pivots, sharding, simhash, tokencount, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pivots": pivots.op1_pivots,
     "op2_topk": topk.op2_topk,
     "op3_tokens": tokencount.op3_tokens,
     "op5_chat": chat.op5_chat,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_pivots": pivots.OP1_SQL,
     "op2_topk": topk.OP2_SQL,
     "op5_chat": chat.OP5_SQL,
 }
