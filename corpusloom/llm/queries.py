@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, mixing, packing, pivots, sharding, simhash, tokencount, topk
+from corpusloom.llm import chat, linededup, mixing, packing, pivots, sharding, simhash, tokencount, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivots": pivots.op1_pivots,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": simhash.op6_simhash,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
+    "op9_lines": linededup.op9_lines,
     "op10_sharding": sharding.op10_sharding,
 }
 
