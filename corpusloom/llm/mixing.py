@@ -86,19 +86,19 @@ def pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def planned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(documents with size, source number and stream offset; sources with targets), both staged."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = staged(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    rows = staged(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = staged(targets(per), "targets")
-    placed = running(rows, ["source"], ["doc_id", "size"], F.col("size"), rows.count(), "start")
+    placed = running(rows, ["source"], ["doc_id", "th", "size"], F.col("size"), rows.count(), "start")
     named = sources.select(F.col("source").alias("__source"), "sid", "source_size", "target")
     return staged(placed.join(named, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source"), "placed"), sources
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Rows (shard, slot, sid, pass_no, block, doc_id, start, word_start, n_words): what each slot reads."""
+    """Rows (shard, slot, sid, pass_no, block, doc_id, th, start, word_start, n_words): what each slot reads."""
     rows, sources = planned(df, id_col, text_col, source_col)
     # Sizes after explode are underestimated; the hints keep such sides from being broadcast.
-    p = pieces(rows).select("sid", "block", "doc_id", "start", "word_start", "n_words")
+    p = pieces(rows).select("sid", "block", "doc_id", "th", "start", "word_start", "n_words")
     return slots(sources).hint("merge").join(p, ["sid", "block"])
 
 
@@ -113,5 +113,23 @@ def taken(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.join(got.hint("merge"), same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """df with each text cut to the words that the mix takes, pass after pass; documents it leaves out go.
+
+    White space after a word stays with it. Rows that repeat an id and a text
+    come out as one.
+    """
+    picks = mix(df, id_col, text_col, source_col).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("pass_no", "start", "word_start", "n_words"))).alias("__picks"))
+    picks = picks.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__picks")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
+    joined = df.join(picks.hint("shuffle_hash"), same).dropDuplicates([id_col, "__th"])
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    joined = joined.withColumn("__words", words)
+    # A pass that ends in mid-line is closed by a newline before the next one starts.
+    part = lambda i: F.array_join(F.flatten(F.transform(F.filter("__picks", lambda p: p["pass_no"] == i), lambda p: F.slice("__words", (p["word_start"] + 1).cast("int"), p["n_words"].cast("int")))), "")
+    text = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1)), part), lambda x: x != ""), "\n")
+    return joined.withColumn(text_col, text).drop("__id", "__th", "__picks", "__words")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat, linededup, mixing, packing, pivots, sharding, simhash, tokencount, topk
+from corpusloom.llm import chat, linededup, mixing, packing, pivots, quality, sharding, simhash, tokencount, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivots": pivots.op1_pivots,
     "op2_topk": topk.op2_topk,
     "op3_tokens": tokencount.op3_tokens,
+    "op4_quality": quality.op4_quality,
     "op5_chat": chat.op5_chat,
     "op6_simhash": simhash.op6_simhash,
     "op7_mixing": mixing.op7_mixing,

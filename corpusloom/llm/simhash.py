@@ -66,14 +66,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for a in range(0, b.num_rows, 1024):
             part = b.slice(a, 1024)
             fp = np.fromiter((text_fingerprint(t) for t in part.column(1).to_pylist()), np.uint64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "th", "fp"])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp)."""
+    """Rows (doc_id, th, fp); th, a hash of the text, tells rows that share an id apart."""
     ship(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return docs.mapInArrow(_fingerprints, "doc_id long, fp long")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.xxhash64(text_col).alias("th"))
+    return docs.mapInArrow(_fingerprints, "doc_id long, th long, fp long")
 
 
 def rotate(x: np.ndarray, left: int) -> np.ndarray:
@@ -214,7 +214,7 @@ def _masks(budget: int, depth: int) -> list[int]:
 
 
 def near_duplicates(df: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp, component_id), component_id being the smallest id reachable by links."""
+    """Rows (doc_id, th, fp, component_id), component_id being the smallest id reachable by links."""
     rows = staged(fingerprints(df, id_col, text_col), "fingerprints")
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = link_groups(nodes.select("fp"), budget).distinct()
@@ -224,7 +224,7 @@ def near_duplicates(df: DataFrame, budget: int = BUDGET, id_col: str = "doc_id",
     edges = found.join(a, "a").join(b, "b").select(F.greatest("da", "db").alias("child"), F.least("da", "db").alias("parent"))
     roots = components(edges)
     named = nodes.join(roots, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("root", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "th", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
