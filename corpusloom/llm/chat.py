@@ -81,6 +81,17 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
+def _message(m: Mapping):
+    """Reads one message of a list by the mapping's field names."""
+    known = F.create_map(*[F.lit(y) for kv in ROLE_NAMES.items() for y in kv])
+
+    def read(x: Column) -> Column:
+        role = F.coalesce(x[m.role_field], F.lit(""))
+        return F.struct(F.coalesce(known[role], role).alias("role"), F.coalesce(x[m.text_field], F.lit("")).alias("text"))
+
+    return read
+
+
 def from_records(df: DataFrame, record_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Add layout, fingerprint and turns (array of role, text) to a column of JSON records of any layout."""
     r = F.col(record_col)
@@ -92,10 +103,7 @@ def from_records(df: DataFrame, record_col: str, mappings: tuple[Mapping, ...] =
         for role, path in m.turns:
             value = F.get_json_object(r, path)
             if role is None:
-                items = F.from_json(value, "array<map<string,string>>")
-                name = lambda x, m=m: F.coalesce(x[m.role_field], F.lit(""))
-                known = F.create_map(*[F.lit(y) for kv in ROLE_NAMES.items() for y in kv])
-                lists.append(F.transform(items, lambda x, m=m, name=name, known=known: F.struct(F.coalesce(known[name(x)], name(x)).alias("role"), F.coalesce(x[m.text_field], F.lit("")).alias("text"))))
+                lists.append(F.transform(F.from_json(value, "array<map<string,string>>"), _message(m)))
             else:
                 lists.append(F.array(F.struct(F.lit(role).alias("role"), F.coalesce(value, F.lit("")).alias("text"))))
         here = F.col("fingerprint") == fingerprint(F.array(*[F.lit(p) for p in sorted(m.paths)]))
