@@ -149,10 +149,35 @@ def group_forest(fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[moved], fps[label[moved]]
 
 
+#: Groups up to this size are leaves: their fingerprints are compared outright, those of many groups at once.
+LEAF = 64
+
+
 def _joiner(budget: int):
+    """Per bucket of groups: a spanning forest of each group's links."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        child, root = group_forest(rows["fp"].to_numpy().view(np.uint64), budget)
-        return pd.DataFrame({"a": child.view(np.int64), "b": root.view(np.int64)})
+        used, key, fp = (rows[c].to_numpy() for c in ("used", "key", "fp"))
+        fp = fp.view(np.uint64)
+        order = np.lexsort((fp, key, used))
+        used, key, fp = used[order], key[order], fp[order]
+        new = np.concatenate([[True], (used[1:] != used[:-1]) | (key[1:] != key[:-1])])
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        sizes = np.diff(np.concatenate([starts, [len(fp)]]))
+        links = []
+        leaf = np.flatnonzero(sizes[group] <= LEAF)
+        for s in range(1, int(sizes[sizes <= LEAF].max(initial=1))):
+            i, j = leaf[:-s], leaf[s:]
+            near = (group[i] == group[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
+            links.append((i[near], j[near]))
+        label = _union(len(fp), iter(links))
+        at = np.flatnonzero(label != np.arange(len(fp)))
+        out = [(fp[at], fp[label[at]])]
+        for g in np.flatnonzero(sizes > LEAF):
+            out.append(group_forest(fp[starts[g] : starts[g] + sizes[g]], budget))
+        child, root = (np.concatenate(x).view(np.int64) for x in zip(*out))
+        return pd.DataFrame({"a": child, "b": root})
 
     return run
 
@@ -194,7 +219,8 @@ def link_groups(fps: DataFrame, budget: int = BUDGET, group: int = GROUP) -> Dat
         if not many:
             break
         level = level.join(big, same, "left_semi")
-    return out.groupBy("used", "key").applyInPandas(_joiner(budget), "a long, b long")
+    buckets = 4 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.groupBy(F.pmod(F.xxhash64("used", "key"), F.lit(buckets))).applyInPandas(_joiner(budget), "a long, b long")
 
 
 def _signed(x: int) -> int:
