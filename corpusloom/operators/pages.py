@@ -14,7 +14,7 @@ from corpusloom.functions.extract import extract
 from corpusloom.functions.filters import FILTERS, apply_filter, chunks
 from corpusloom.functions.js import words
 from corpusloom.functions.markdown import variants
-from corpusloom.functions.scrape import ScrapeOptions, scrape
+from corpusloom.functions.scrape import ScrapeOptions, remove_overlays, scrape
 from corpusloom.session import ship
 
 LINK = "struct<href:string,text:string,title:string,base_domain:string>"
@@ -32,9 +32,11 @@ FIELDS = {
 ALL = tuple(FIELDS)
 
 
-def process_html(html: str, url: str, outputs: tuple[str, ...] = ALL, content_filter: str = "readability", filter_options: dict | None = None, scrape_options: ScrapeOptions = ScrapeOptions(), schema: dict | None = None, citations: bool = True) -> dict:
-    """One page. The filter and the extraction see the page before it is cleaned."""
+def process_html(html: str, url: str, outputs: tuple[str, ...] = ALL, content_filter: str = "readability", filter_options: dict | None = None, scrape_options: ScrapeOptions = ScrapeOptions(), schema: dict | None = None, citations: bool = True, overlays: bool = False) -> dict:
+    """One page. The filter and the extraction see the page before it is cleaned; overlays=True takes banners and dialogs out first."""
     doc = parse(html or "")
+    if overlays:
+        remove_overlays(doc)
     wants_text = "markdown" in outputs or "word_count" in outputs
     fit = apply_filter(doc, content_filter, filter_options) if "markdown" in outputs else ""
     out: dict = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,4 +91,11 @@ def write_markdown(results: DataFrame, path: str) -> None:
 
 
 def write_json(results: DataFrame, path: str) -> None:
+    """All results, one JSON object a line."""
     results.write.json(path)
+
+
+def pretty_json(results: DataFrame, limit: int = 1000) -> str:
+    """The first `limit` results in order of visit as one indented array; for looking at, not for bulk."""
+    rows = results.orderBy("visit").limit(limit).select(F.to_json(F.struct("*")).alias("j")).collect()
+    return json.dumps([json.loads(r["j"]) for r in rows], indent=2, ensure_ascii=False)

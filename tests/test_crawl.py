@@ -3,9 +3,9 @@ import random
 import pytest
 
 from corpusloom.plans.config import CrawlConfig, keyword_list
-from corpusloom.plans.crawl import Crawler, stats
+from corpusloom.plans.crawl import Crawler, link_view, media_view, pretty_json, sorted_by, stats, write_json, write_markdown
 from corpusloom.plans.traverse import bfs, traverse, walk
-from corpusloom.sources import sitemap
+from corpusloom.sources import fetch, sitemap
 from corpusloom.streaming.pages import domain_counts, page_stream, process_stream
 
 O = "https://site.test"  # noqa: E741
@@ -96,13 +96,42 @@ def test_config():
     assert keyword_list("a, b  c") == ("a", "b", "c")
 
 
-def test_crawler(spark):
+def test_crawler(spark, tmp_path):
     pages = spark.createDataFrame([(O + "/", "<title>H</title><p>x</p><a href='/a'>a</a><a href='/gone'>g</a>"), (O + "/a", "<h1>A</h1><p>text</p>")], "url string, html string")
     out = Crawler(spark, pages).crawl(CrawlConfig((O + "/",)))
     rows = {r.url: r for r in out.collect()}
     assert rows[O + "/"].title == "H" and rows[O + "/a"].markdown == "# A\n\ntext" and rows[O + "/gone"].error and rows[O + "/gone"].word_count == 0
     assert rows[O + "/gone"].links is not None and len(out.columns) == 18
     assert stats(out).first().asDict() == {"total": 3, "successful": 2, "failed": 1}
+    assert [r.href for r in link_view(out).where("url = 'https://site.test/'").collect()] == [O + "/a", O + "/gone"] and media_view(out).count() == 0
+    assert [r.word_count for r in sorted_by(out, "word_count", descending=True).collect()][-1] == 0
+    assert pretty_json(out).startswith("[\n  {")
+    write_markdown(out, str(tmp_path / "md"))
+    write_json(out, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 3
+    text = "".join(p.read_text() for p in sorted((tmp_path / "md").glob("*.txt")))
+    assert text.startswith("# H\n\n<https://site.test/>\n\nx") and "\n---\n\n# https://site.test/a" in text
+
+
+def answer(url, timeout):
+    found = {"/ok": (200, url, "text/html; charset=utf-8", "<p>x</p>"), "/404": (404, url, "text/html", "<p>n</p>"), "/json": (200, url, "application/json", "{}"), "/none": (200, url, "", ""), "/moved": (200, O + "/ok", "text/html", "m")}
+    path = url[len(O) :]
+    if path == "/slow":
+        raise TimeoutError
+    if path not in found:
+        raise OSError("no route")
+    return found[path]
+
+
+def test_fetch(spark):
+    got = {p: fetch.raw_fetch(O + p, 9, answer) for p in ("/ok", "/404", "/json", "/none", "/moved", "/slow", "/x")}
+    assert got["/ok"]["success"] and got["/404"]["html"] and not got["/404"]["success"]
+    assert [got[p]["error"] for p in ("/404", "/json", "/none", "/slow", "/x")] == ["HTTP 404", "Unsupported content type: application/json", "Unsupported content type: unknown", "Timed out after 9ms", "no route"]
+    assert got["/moved"]["redirected_url"] == O + "/ok"
+    urls = spark.createDataFrame([(O + "/ok",), (O + "/ok",), (O + "/x",)], "url string")
+    assert sorted(r.success for r in fetch.fetch_live(urls, opener=lambda u, t: (200, u, "text/html", "x") if u.endswith("ok") else 1 / 0).collect()) == [False, True]
+    pages = spark.createDataFrame([(O + "/ok", "h")], "url string, html string")
+    assert {(r.success, r.error) for r in fetch.fetch_corpus(urls, pages).collect()} == {(True, None), (False, "not in the corpus")}
 
 
 def test_sitemaps(spark):

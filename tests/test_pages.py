@@ -106,6 +106,12 @@ def test_markdown():
     assert cite("plain", URL) == ("plain", "")
 
 
+def test_overlays():
+    html = "<body class=modal-open><div class='Cookie-Banner'>c</div><div role=dialog>d</div><p>text</p></body>"
+    out = P.process_html(html, URL, ("cleaned_html",), overlays=True)
+    assert out["cleaned_html"] == "<p>text</p>"
+
+
 def test_extraction():
     page = parse('<div class=p data-id=7><h3> Name </h3><b class=t>x</b><b class=t>y</b></div><p class=n>note</p><div class=p></div>')
     schema = {"baseSelector": "div.p", "baseFields": [{"name": "id", "type": "attribute", "attribute": "data-id"}], "fields": [
