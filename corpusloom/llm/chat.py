@@ -67,8 +67,8 @@ def field_paths(record: Column) -> Column:
     keys = F.json_object_keys(record)
 
     def below(k: Column) -> Column:
-        value = F.get_json_object(record, F.concat(F.lit("$['"), k, F.lit("']")))
-        first = F.get_json_object(value, F.lit("$[0]"))
+        value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("']")))
+        first = F.get_json_object(value, "$[0]")
         inner = F.transform(F.coalesce(F.json_object_keys(value), F.array().cast("array<string>")), lambda c: F.concat(k, F.lit("."), c))
         element = F.transform(F.coalesce(F.json_object_keys(first), F.array().cast("array<string>")), lambda c: F.concat(k, F.lit("[]."), c))
         return F.concat(F.array(k), F.when(F.ltrim(value).startswith("["), element).otherwise(inner))
