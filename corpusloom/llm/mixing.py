@@ -18,7 +18,7 @@ source's size and the excess is shared again by weight.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import permuted, running
@@ -124,11 +124,16 @@ def mixed_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
     joined = df.join(picks.hint("shuffle_hash"), same).dropDuplicates([id_col, "__th"])
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    joined = joined.withColumn("__words", words)
-    # A pass that ends in mid-line is closed by a newline before the next one starts.
-    part = lambda i: F.array_join(F.flatten(F.transform(F.filter("__picks", lambda p: p["pass_no"] == i), lambda p: F.slice("__words", (p["word_start"] + 1).cast("int"), p["n_words"].cast("int")))), "")
-    text = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1)), part), lambda x: x != ""), "\n")
-    return joined.withColumn(text_col, text).drop("__id", "__th", "__picks", "__words")
+
+    def joined_text(w: Column) -> Column:
+        piece = lambda p: F.array_join(F.slice(w, (p["word_start"] + 1).cast("int"), p["n_words"].cast("int")), "")
+        one_pass = lambda i: F.array_join(F.transform(F.filter("__picks", lambda p: p["pass_no"] == i), piece), "")
+        # A pass that ends in mid-line is closed by a newline before the next one starts.
+        return F.array_join(F.filter(F.array(*[one_pass(i) for i in range(MAX_PASSES)]), lambda x: x != ""), "\n")
+
+    # The lambda's argument holds the words, so that a text is cut once and not again for each piece.
+    text = F.transform(F.array(words), joined_text)[0]
+    return joined.withColumn(text_col, text).drop("__id", "__th", "__picks")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
