@@ -159,15 +159,27 @@ def _pair_verifier(threshold: float):
     return run
 
 
+def jaccard(lines: list[str], k: int = SHINGLE) -> np.ndarray:
+    """Exact Jaccard similarities of all pairs of a block of lines, from a 0/1 matrix of their shingles."""
+    number: dict[str, int] = {}
+    at = [np.unique([number.setdefault(x, len(number)) for x in shingles(t, k)]) for t in lines]
+    sizes = np.array([len(x) for x in at], np.float32)
+    both = np.zeros((len(lines), len(lines)), np.float32)
+    for s in range(0, len(number), 4096):
+        m = np.zeros((len(lines), min(4096, len(number) - s)), np.float32)
+        for i, x in enumerate(at):
+            m[i, x[np.searchsorted(x, s) : np.searchsorted(x, s + 4096)] - s] = 1
+        both += m @ m.T
+    return both / (sizes[:, None] + sizes[None, :] - both)
+
+
 def _block_verifier(threshold: float):
-    """Per run and pair of blocks: a spanning forest of the links of its unresolved lines to all others."""
+    """Per bucket of runs' block pairs: a spanning forest of the links of unresolved lines to all others of their run."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = key[1], key[2]
-        left = rows[rows["block"] == x]
-        right = rows[rows["block"] == y]
-        sets = {lid: shingles(t) for lid, t in zip(rows["lid"], rows["line"])}
-        root = {lid: lid for lid in sets}
+    def forest(lids: np.ndarray, lines: list[str], bad: np.ndarray) -> list[tuple[int, int]]:
+        near = jaccard(lines) >= threshold - 1e-6
+        i, j = np.nonzero(np.triu(near & (bad[:, None] | bad[None, :]), 1))
+        root = list(range(len(lids)))
 
         def find(u: int) -> int:
             while root[u] != u:
@@ -175,12 +187,22 @@ def _block_verifier(threshold: float):
             return u
 
         out = []
-        for u, bad in zip(left["lid"], left["unresolved"]):
-            for v, worse in zip(right["lid"], right["unresolved"]):
-                if u != v and (bad or worse) and find(u) != find(v) and similar(sets[u], sets[v], threshold):
-                    a, b = sorted((find(u), find(v)))
-                    root[b] = a
-                    out.append((b, a))
+        for u, v in zip(i.tolist(), j.tolist()):
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                x, y = int(lids[u]), int(lids[v])
+                out.append((max(x, y), min(x, y)))
+        return out
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["run", "x", "y"], kind="stable")
+        keys = rows[["run", "x", "y"]].to_numpy()
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        out = []
+        for part in np.split(np.arange(len(rows)), cuts):
+            g = rows.iloc[part]
+            out += forest(g["lid"].to_numpy(), g["line"].tolist(), g["unresolved"].to_numpy())
         return pd.DataFrame(out, columns=["b", "a"])
 
     return run
@@ -204,16 +226,18 @@ def line_links(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ta, tb = texts.select(F.col("lid").alias("a"), F.col("line").alias("ta")), texts.select(F.col("lid").alias("b"), F.col("line").alias("tb"))
     checked = staged(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(_pair_verifier(threshold), "a long, b long, linked boolean"), "checked")
     links = checked.where("linked").select("b", "a")
-    # Of runs of three and more, the lines that are unlike the first are compared with all.
+    # Of runs of three and more, the lines that are unlike the first are compared with all; of runs with the same lines once.
     bad = checked.where("not linked").select("a", "b")
-    open_runs = runs.where("n > 2").join(bad, ["a", "b"], "left_semi").select("run", F.col("b").alias("bb"))
-    members = runs.join(open_runs.select("run").distinct(), "run", "left_semi")
-    members = members.join(open_runs.withColumnRenamed("run", "orun"), (F.col("run") == F.col("orun")) & (F.col("b") == F.col("bb")), "left")
+    same = runs.where("n > 2").groupBy("run", "n").agg(F.expr("bit_xor(xxhash64(b))").alias("lines")).groupBy("n", "lines").agg(F.min("run").alias("run")).select("run")
+    open_runs = staged(runs.where("n > 2").join(bad, ["a", "b"], "left_semi").join(same, "run", "left_semi").select(F.col("run").alias("orun"), F.col("b").alias("bb")), "open")
+    members = runs.join(open_runs.select(F.col("orun").alias("run")).distinct(), "run", "left_semi")
+    members = members.join(open_runs, (F.col("run") == F.col("orun")) & (F.col("b") == F.col("bb")), "left")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     members = members.select("run", F.col("b").alias("lid"), F.col("bb").isNotNull().alias("unresolved"), blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("run", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "lid", "unresolved")
-    rest = members.join(texts, "lid").groupBy("run", "x", "y").applyInPandas(_block_verifier(threshold), "b long, a long")
+    members = members.select("run", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "lid", "unresolved")
+    bucket = F.pmod(F.xxhash64("run", "x", "y"), F.lit(2 * n_buckets))
+    rest = members.join(texts, "lid").groupBy(bucket).applyInPandas(_block_verifier(threshold), "b long, a long")
     return links.unionByName(rest)
 
 
@@ -221,27 +245,26 @@ def dropped_lines(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     """Rows (doc_id, th, line_no) of the lines that a smaller copy or near copy makes redundant."""
     spark = df.sparkSession
     ship(spark)
-    where = staged(line_rows(df, id_col, text_col).select("doc_id", "th", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "places")
-    lines = line_rows(df, id_col, text_col).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("doc_id", "th", "line_no").alias("place"), "line")
-    lines = lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line"), F.count("*").alias("n"))
-    name = f"corpusloom_lines_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = staged_buckets(lines.withColumn("lid", F.monotonically_increasing_id()), name, parts, "lid")
-    links = line_links(table, threshold)
-    roots = staged(components(links, "b", "a"), "roots")
-    grouped = table.select("lid", "h1", "h2", "place", "n").join(roots, F.col("lid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "lid"))
-    grouped = staged(grouped.select("lid", "root", "h1", "h2", "place", "n"), "grouped")
-    best = grouped.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("all"))
-    best = best.where(F.col("all") > 1).withColumnRenamed("root", "r")
-    many = grouped.join(best, F.col("root") == F.col("r")).select("h1", "h2", "first")
-    return where.join(many, ["h1", "h2"]).where(~(F.col("first") == F.struct("doc_id", "th", "line_no"))).select("doc_id", "th", "line_no")
-
-
-def staged_buckets(df: DataFrame, name: str, parts: int, key: str) -> DataFrame:
+    where = staged(line_rows(df, id_col, text_col).select("doc_id", "th", "line_no", F.xxhash64("line").alias("h")), "places")
+    lines = line_rows(df, id_col, text_col).select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
+    # The line's hash is its id. Different lines with one hash (h2 tells) are left alone.
+    lines = lines.groupBy("h").agg(F.any_value("line").alias("line"), F.min("h2").alias("low"), F.max("h2").alias("high")).where("low = high").select(F.col("h").alias("lid"), "line")
+    table = staged_buckets(lines, f"corpusloom_lines_{uuid.uuid4().hex}", "lid")
+    roots = staged(components(line_links(table, threshold), "b", "a"), "roots")
+    alone = table.select(F.col("lid").alias("h"))
+    placed = where.join(alone, "h").groupBy("h").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("place"), F.count("*").alias("n"))
+    grouped = staged(placed.join(roots, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("root"), "place", "n"), "grouped")
+    best = grouped.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1).withColumnRenamed("root", "r")
+    many = grouped.join(best, F.col("root") == F.col("r")).select("h", "first")
+    return where.join(many, "h").where(~(F.col("first") == F.struct("doc_id", "th", "line_no"))).select("doc_id", "th", "line_no")
+
+
+def staged_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     """Write df as a table in the shared folder, bucketed by key: joins on key move the other side only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom/{name}"
-    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(name)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, key).option("path", path).saveAsTable(name)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.table(name)
