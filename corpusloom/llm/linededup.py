@@ -55,20 +55,23 @@ def signatures(lines: list[str], shingle: int = SHINGLE, bins: int = BANDS * ROW
     padded = np.maximum(lens, shingle)
     text = "".join(x if len(x) >= shingle else x.ljust(shingle, "\0") for x in lines)
     u = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    starts = np.concatenate([[0], np.cumsum(padded)[:-1]])
+    ends = np.cumsum(padded)
     step, done, h = np.uint64(0x100000001B3), 1, u
     while done < shingle:  # windows of 2, 4, 8 ... code points, then the odd rest
         add = min(done, shingle - done)
         power = np.uint64(pow(int(step), add, 1 << 64))
         h = h[: len(h) - add] * power + (h[add:] if add == done else window_hash(u, add, step)[done : done + len(h) - add])
         done += add
-    count = padded - shingle + 1
-    line = np.repeat(np.arange(len(lines)), count)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts, count)
-    h = mix(h[at])
-    bin_ = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-    out = np.full(len(lines) * bins, NO_VALUE, np.uint64)
-    np.minimum.at(out, line * bins + bin_.astype(np.int64), mix(h + np.uint64(1)) >> np.uint64(1))
+    # Every window has a bin of its line; those that run over a line's end go to a bin that is thrown away.
+    bin_ = (((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
+    key = np.repeat(np.arange(0, len(lines) * bins, bins), padded)[: len(h)] + bin_.astype(np.int64)
+    over = (ends[:-1, None] - np.arange(1, shingle)[None, :]).ravel()
+    key[over] = len(lines) * bins
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    out = np.full(len(lines) * bins + 1, NO_VALUE, np.uint64)
+    np.minimum.at(out, key, h >> np.uint64(1))
+    out = out[:-1]
     out = out.reshape(-1, bins)
     full = out != NO_VALUE
     for d in range(1, bins):  # an empty bin takes the value of the next full one, marked by the distance
@@ -101,11 +104,28 @@ def shingles(line: str, k: int = SHINGLE) -> frozenset:
     return frozenset(line[i : i + k] for i in range(max(1, len(line) - k + 1)))
 
 
-def similar(a: frozenset, b: frozenset, threshold: float) -> bool:
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return both >= threshold * (len(a) + len(b) - both)
+def packed(line: str) -> np.ndarray | None:
+    """The line's shingles as sorted distinct 64-bit numbers, a byte for each character; None if that cannot hold them."""
+    try:
+        raw = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    if len(raw) < SHINGLE:  # one shingle, told from longer ones by its zeros, unless it has zeros itself
+        return None if b"\0" in raw else np.frombuffer(raw.ljust(8, b"\0"), "<u8")
+    x = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def similarity(a: str, b: str) -> float:
+    """Exact Jaccard similarity of two lines' shingle sets."""
+    x, y = packed(a), packed(b)
+    if x is None or y is None:
+        s, t = shingles(a), shingles(b)
+        return len(s & t) / len(s | t)
+    z = np.sort(np.concatenate([x, y]))
+    both = int(np.count_nonzero(z[1:] == z[:-1]))
+    return both / (len(x) + len(y) - both)
 
 
 def _bander(n_buckets: int):
@@ -148,28 +168,33 @@ def _runs(rows: pd.DataFrame) -> pd.DataFrame:
 def _pair_verifier(threshold: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            last, sa = None, None
-            ok = np.zeros(len(f), bool)
-            for i, (x, y) in enumerate(zip(f["ta"], f["tb"])):
-                if x != last:
-                    last, sa = x, shingles(x)
-                ok[i] = similar(sa, shingles(y), threshold)
-            yield pd.DataFrame({"a": f["a"], "b": f["b"], "linked": ok})
+            ok = [similarity(x, y) >= threshold for x, y in zip(f["ta"], f["tb"])]
+            yield pd.DataFrame({"a": f["a"], "b": f["b"], "linked": np.array(ok, bool)})
 
     return run
 
 
 def jaccard(lines: list[str], k: int = SHINGLE) -> np.ndarray:
     """Exact Jaccard similarities of all pairs of a block of lines, from a 0/1 matrix of their shingles."""
-    number: dict[str, int] = {}
-    at = [np.unique([number.setdefault(x, len(number)) for x in shingles(t, k)]) for t in lines]
-    sizes = np.array([len(x) for x in at], np.float32)
+    sets = [packed(t) for t in lines]
+    if any(x is None for x in sets):
+        number: dict[str, int] = {}
+        sets = [np.array(sorted(number.setdefault(x, len(number)) for x in shingles(t, k))) for t in lines]
+    sizes = np.array([len(x) for x in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(lines)), sizes)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    # A shingle that one line has alone adds to no pair.
+    shared = np.bincount(at)[at] > 1
+    at, row = np.unique(at[shared], return_inverse=True)[1], row[shared]
     both = np.zeros((len(lines), len(lines)), np.float32)
-    for s in range(0, len(number), 4096):
-        m = np.zeros((len(lines), min(4096, len(number) - s)), np.float32)
-        for i, x in enumerate(at):
-            m[i, x[np.searchsorted(x, s) : np.searchsorted(x, s + 4096)] - s] = 1
+    for s in range(0, int(at.max(initial=-1)) + 1, 4096):
+        a, b = np.searchsorted(at, [s, s + 4096])
+        m = np.zeros((len(lines), 4096), np.float32)
+        m[row[a:b], at[a:b] - s] = 1
         both += m @ m.T
+    np.fill_diagonal(both, sizes)
     return both / (sizes[:, None] + sizes[None, :] - both)
 
 
@@ -252,7 +277,7 @@ def dropped_lines(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     table = staged_buckets(lines, f"corpusloom_lines_{uuid.uuid4().hex}", "lid")
     roots = staged(components(line_links(table, threshold), "b", "a"), "roots")
     alone = table.select(F.col("lid").alias("h"))
-    placed = where.join(alone, "h").groupBy("h").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("place"), F.count("*").alias("n"))
+    placed = where.groupBy("h").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("place"), F.count("*").alias("n")).join(alone, "h", "left_semi")
     grouped = staged(placed.join(roots, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("root"), "place", "n"), "grouped")
     best = grouped.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1).withColumnRenamed("root", "r")
     many = grouped.join(best, F.col("root") == F.col("r")).select("h", "first")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -97,7 +98,7 @@ def test_chunk_encoder_is_exact():
     rng = random.Random(1)
     texts = ["".join(rng.choice("abzÀé'sİ<|endoftext|>́ .,!12ß\n\t \x1cΣЖ中") for _ in range(50)) for _ in range(400)] + ["don't I'VE it's", "ΑΣ ΣΑΣ", ""]
     for _ in range(2):
-        assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts, None)] == [e.full.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(pa.array(texts), None)] == [e.full.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_nnls_uses_up_a_histogram():
@@ -207,6 +208,14 @@ def test_line_signatures():
     assert (one[2] == linededup.signatures(["abcdefgh"])[0]).all() and len({r.tobytes() for r in one}) == 5
     j = linededup.jaccard(["abcdefghij", "abcdefghijk", "zzzzzzzzzz"])
     assert abs(j[0, 1] - 3 / 4) < 1e-6 and j[0, 2] == 0 and j[2, 2] == 1
+    rng = random.Random(3)
+    some = ["".join(rng.choices("abé", k=rng.randint(0, 40))) for _ in range(30)] + ["ab\0", "ab", "", "abababababab"]
+    for more in ([], ["日本語" * 5, "ab日本語abcdefgh"]):
+        block = some + more
+        sets = [linededup.shingles(x) for x in block]
+        want = np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
+        assert np.abs(linededup.jaccard(block) - want).max() < 1e-6
+        assert all(abs(linededup.similarity(x, y) - want[i, k]) < 1e-12 for i, x in enumerate(block) for k, y in enumerate(block))
 
 
 def test_long_runs_are_compared_in_blocks(spark, monkeypatch):
