@@ -10,8 +10,17 @@ bounded pieces. A task emits one row per vector: its links and its local root,
 never the pairs. Equal vectors are collapsed first and counted by weight.
 
 The pivots are a sample of the distinct vectors, the first by hash: about the
-square root of their number, between MIN_PIVOTS and MAX_PIVOTS. Every vector
-is indexed; the README gives the recall against brute force.
+square root of their number, between MIN_PIVOTS and MAX_PIVOTS. A sampled
+vector within cosine NEAR of a pivot is passed over, so that a large group of
+near copies doesn't fill the pivots with its own members.
+
+A vector whose nearest pivot lies within NEAR and one link of it is at home in
+that pivot's cell, and is compared there with every vector that can link with
+it: by the triangle inequality these lie within the cell's radius and one link
+of the pivot, and within one link of the plane halfway to their own nearest
+pivot. So all links of vectors at home are found, and each vector that links
+with a sampled one is at home. The inverted lists serve the others alone; the
+README gives the recall against brute force.
 
 Defined results: vectors that are null, empty, all zero, or hold null or
 non-finite components link with nothing and stand alone; vectors of different
@@ -35,37 +44,90 @@ from corpusloom.session import read_table, ship, staged
 THRESHOLD = 0.95
 PREFIX, SHARED, BLOCK = 8, 3, 2048
 MIN_PIVOTS, MAX_PIVOTS = 256, 32_768
+#: No two pivots are as near as this.
+NEAR = 0.9
+#: Slack for rounding in bounds, and the home of a vector that has none.
+EPS, NOWHERE = 1e-6, 2**31 - 1
 
 
-def nearest(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """The ordered numbers of each vector's nearest pivots by cosine."""
+def thinned(sample: np.ndarray, wanted: int) -> np.ndarray:
+    """Up to `wanted` of the sample's unit vectors, in order, none within cosine NEAR of one before it."""
+    kept = sample[:0]
+    for s in range(0, len(sample), 256):
+        part = sample[s : s + 256]
+        part = part[(part @ kept.T < NEAR).all(axis=1)]
+        near = part @ part.T >= NEAR
+        take = []
+        for i in range(len(part)):
+            if not near[i, take].any():
+                take.append(i)
+        kept = np.concatenate([kept, part[take]])
+        if len(kept) >= wanted:
+            break
+    return kept[:wanted]
+
+
+def cosines(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     d = min(v.shape[1], pivots.shape[1])
-    near = -(v[:, :d] / np.linalg.norm(v, axis=1, keepdims=True)) @ pivots[:, :d].T
-    m = min(prefix, pivots.shape[0])
-    part = np.argpartition(near, m - 1, axis=1)[:, :m]
-    order = np.lexsort((part, np.take_along_axis(near, part, axis=1)), axis=1)
+    return (v[:, :d] / np.linalg.norm(v, axis=1, keepdims=True)) @ pivots[:, :d].T
+
+
+def by_nearness(near: np.ndarray, prefix: int) -> np.ndarray:
+    """The ordered numbers of the largest cosines of each row."""
+    m = min(prefix, near.shape[1])
+    part = np.argpartition(-near, m - 1, axis=1)[:, :m]
+    order = np.lexsort((part, -np.take_along_axis(near, part, axis=1)), axis=1)
     return np.take_along_axis(part, order, axis=1).astype(np.int32)
 
 
-def _lister(pivots: np.ndarray, prefix: int):
-    """mapInArrow function: vectors to their entries in inverted lists."""
-    schema = pa.schema([("pivot", pa.int32()), ("dim", pa.int32()), ("id", pa.int64()), ("w", pa.int64()), ("v", pa.binary()), ("named", pa.binary())])
+def nearest(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """The ordered numbers of each vector's nearest pivots by cosine."""
+    return by_nearness(cosines(v, pivots), prefix)
+
+
+def cells(near: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home of each row or NOWHERE, rows, cells): every cell that a row is at home in or can link into."""
+    link = np.arccos(np.clip(threshold, -1, 1))
+    reach = np.arccos(NEAR) + link
+    first = near.argmax(axis=1)
+    best = near[np.arange(len(near)), first]
+    home = np.where(best >= np.cos(min(reach, np.pi)) - EPS, first, NOWHERE)
+    row, cell = np.nonzero(near >= np.cos(min(reach + link, np.pi)) - EPS)
+    apart = np.linalg.norm(pivots[first[row]] - pivots[cell], axis=1)
+    keep = best[row] - near[row, cell] <= np.sin(min(link, np.pi / 2)) * apart + EPS
+    return home, row[keep], cell[keep]
+
+
+LISTS = "pivot int, dim int, id long, w long, v binary, named binary, home int, angle double"
+
+
+def _lister(pivots: np.ndarray, prefix: int, threshold: float):
+    """mapInArrow function: vectors to their entries in inverted lists, and in cells (pivot -1 - p)."""
+    schema = pa.schema([("pivot", pa.int32()), ("dim", pa.int32()), ("id", pa.int64()), ("w", pa.int64()), ("v", pa.binary()), ("named", pa.binary()), ("home", pa.int32()), ("angle", pa.float64())])
+
+    def entries(part: pa.RecordBatch, d: int) -> Iterator[pa.RecordBatch]:
+        v = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        ids, w = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        near = cosines(v, pivots)
+        home, row, cell = cells(near, pivots, threshold)
+        alone = np.flatnonzero(home == NOWHERE)
+        named = by_nearness(near[alone], prefix) if len(alone) else np.zeros((0, 1), np.int32)
+        raw, tags = [x.tobytes() for x in v], dict(zip(alone.tolist(), (x.tobytes() for x in named)))
+        pivot = np.concatenate([named.ravel(), -1 - cell]).astype(np.int32)
+        at = np.concatenate([np.repeat(alone, named.shape[1]), row])
+        angle = np.arccos(np.clip(near[at, np.where(pivot < 0, -1 - pivot, pivot)], -1, 1))
+        for s in range(0, len(at), 8192):
+            r, p = at[s : s + 8192], pivot[s : s + 8192]
+            told = pa.array([tags[i] if q >= 0 else b"" for i, q in zip(r.tolist(), p.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(np.full(len(r), d, np.int32)), pa.array(ids[r]), pa.array(w[r]), pa.array([raw[i] for i in r], pa.binary()), told, pa.array(home[r].astype(np.int32)), pa.array(angle[s : s + 8192])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = np.diff(b.column(2).offsets.to_numpy())
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                part = b.take(pa.array(at))
-                v = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                named = nearest(v, pivots, prefix)
-                n, m = named.shape
-                raw, tags = [x.tobytes() for x in v], [x.tobytes() for x in named]
-                rep = np.repeat(np.arange(n), m)
-                ids, w = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                for s in range(0, n * m, 8192):
-                    r = rep[s : s + 8192]
-                    yield pa.RecordBatch.from_arrays([pa.array(named.ravel()[s : s + 8192]), pa.array(np.full(len(r), d, np.int32)), pa.array(ids[r]), pa.array(w[r]), pa.array([raw[i] for i in r], pa.binary()), pa.array([tags[i] for i in r], pa.binary())], schema=schema)
+                for s in range(0, len(at), 2048):
+                    yield from entries(b.take(pa.array(at[s : s + 2048])), d)
 
     return run
 
@@ -90,7 +152,7 @@ def shared_counts(a: np.ndarray, b: np.ndarray, pivot: int) -> tuple[np.ndarray,
 
 
 def _verifier(threshold: float, shared: int):
-    """Per list and pair of blocks: each vector's links and local root."""
+    """Per list or cell and pair of blocks: each vector's links and local root."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         pivot, _, x, y = (int(k) for k in key)
@@ -99,8 +161,8 @@ def _verifier(threshold: float, shared: int):
             part = rows[rows["block"] == side]
             v = np.array([np.frombuffer(r, np.float64) for r in part["v"]])
             v = v / np.linalg.norm(v, axis=1, keepdims=True) if len(part) else v
-            sides.append((part["id"].to_numpy(), part["w"].to_numpy(), v, np.array([np.frombuffer(r, np.int32) for r in part["named"]])))
-        (ia, wa, va, na), (ib, wb, vb, nb) = sides
+            sides.append((part["id"].to_numpy(), part["w"].to_numpy(), v, np.array([np.frombuffer(r, np.int32) for r in part["named"]]), part["home"].to_numpy()))
+        (ia, wa, va, na, ha), (ib, wb, vb, nb, hb) = sides
         out = []
         if len(ia) and len(ib):
             ids = np.concatenate([ia, ib])
@@ -109,8 +171,11 @@ def _verifier(threshold: float, shared: int):
             pairs = []
             for s in range(0, len(ia), 512):
                 e = min(len(ia), s + 512)
-                count, lower = shared_counts(na[s:e], nb, pivot)
-                candidate = (count >= shared) & ~lower
+                if pivot < 0:
+                    candidate = np.minimum(ha[s:e, None], hb[None, :]) == -1 - pivot
+                else:
+                    count, lower = shared_counts(na[s:e], nb, pivot)
+                    candidate = (count >= shared) & ~lower
                 if x == y:
                     candidate &= np.arange(s, e)[:, None] < np.arange(len(ib))[None, :]
                 cols = np.flatnonzero(candidate.any(axis=0))
@@ -150,18 +215,23 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, prefix: int = P
     distinct = staged(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")).select("id", "w", "v"), "distinct")
     n = distinct.count()
     wanted = int(min(max_pivots, max(MIN_PIVOTS, np.sqrt(n))))
-    sample = [r["v"] for r in distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(wanted).collect()]
+    sample = [r["v"] for r in distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(max(wanted, min(max_pivots, 4 * wanted))).collect()]
     none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not sample:
         return none
     width = max(map(len, sample))
     pivots = np.array([x + [0.0] * (width - len(x)) for x in sample])
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-    lists = staged(distinct.mapInArrow(_lister(pivots, prefix), "pivot int, dim int, id long, w long, v binary, named binary"), "lists")
+    pivots = thinned(pivots, wanted)
+    lists = staged(distinct.mapInArrow(_lister(pivots, prefix, threshold), LISTS), "lists")
+    # Of those that a cell could hold, the ones that its farthest vector at home could link with.
+    far = lists.where("home = -1 - pivot").groupBy("pivot", "dim").agg(F.max("angle").alias("far"))
+    link = float(np.arccos(np.clip(threshold, -1, 1))) + EPS
+    lists = lists.join(F.broadcast(far), ["pivot", "dim"], "left").where((F.col("pivot") >= 0) | (F.col("angle") <= F.col("far") + link)).drop("far", "angle")
     sizes = lists.groupBy("pivot", "dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     cut = lists.join(sizes, ["pivot", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("pivot", "dim", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "w", "v", "named")
+    cut = cut.select("pivot", "dim", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "w", "v", "named", "home")
     found = staged(cut.groupBy("pivot", "dim", "x", "y").applyInPandas(_verifier(threshold, shared), "id long, links long, root long"), "found")
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("child"), F.col("root").alias("parent")))

@@ -66,6 +66,18 @@ def test_pivot_recall(spark, small):
     assert len(i) > 20 and shared.mean() >= 0.9
 
 
+def test_pivots_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = x[0] + 0.14 * rng.normal(size=(1000, 64))  # a third of the rows, at pairwise cosines about 0.98
+    x[1000:1010] = x[1010:1020] + 0.1 * rng.normal(size=(10, 64))
+    got = pivots.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert want[:1000].min() > 900 and want[1000:1020].min() == 1
+    assert [r.n_links for r in sorted(got)] == want.tolist()
+
+
 @pytest.mark.parametrize("block", [65_536, 7])
 def test_topk(vectors, monkeypatch, block):
     rows, df = vectors
