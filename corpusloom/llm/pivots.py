@@ -2,8 +2,8 @@
 
 Each vector is described by its `prefix` nearest reference points (pivots) in
 order. Every pivot has an inverted list of the vectors that name it. Within a
-list, vectors are retrieved that share at least `shared` pivots, and verified
-by cosine in double precision. A pair that meets in several lists counts in
+list, vectors are retrieved that share at least `shared` pivots (all, where
+there are fewer), and verified by cosine in double precision. A pair that meets in several lists counts in
 that of its smallest shared pivot alone. Lists are cut into blocks, and pairs
 of blocks are tasks of their own, so that a list of any length is done in
 bounded pieces. A task emits one row per vector: its links and its local root,
@@ -175,7 +175,7 @@ def _verifier(threshold: float, shared: int):
                     candidate = np.minimum(ha[s:e, None], hb[None, :]) == -1 - pivot
                 else:
                     count, lower = shared_counts(na[s:e], nb, pivot)
-                    candidate = (count >= shared) & ~lower
+                    candidate = (count >= min(shared, na.shape[1])) & ~lower
                 if x == y:
                     candidate &= np.arange(s, e)[:, None] < np.arange(len(ib))[None, :]
                 cols = np.flatnonzero(candidate.any(axis=0))

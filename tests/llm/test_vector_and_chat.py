@@ -78,6 +78,15 @@ def test_pivots_in_a_large_group_of_near_copies(spark):
     assert [r.n_links for r in sorted(got)] == want.tolist()
 
 
+def test_pivots_fewer_than_shared(spark):
+    schema = "vec_id long, embedding array<double>"
+    two = pivots.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.99, 0.14])], schema)).collect()
+    assert [(r.vec_id, r.n_links, r.component_id) for r in sorted(two)] == [(1, 1, 1), (2, 1, 1)]
+    x = np.eye(24).repeat(2, axis=0) + 0.01 * np.arange(48)[:, None] / 48  # 24 pairs, of which two pivots can be near only two
+    got = pivots.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], schema), max_pivots=2).collect()
+    assert [(r.n_links, r.component_id) for r in sorted(got)] == [(1, i - i % 2) for i in range(48)]
+
+
 @pytest.mark.parametrize("block", [65_536, 7])
 def test_topk(vectors, monkeypatch, block):
     rows, df = vectors
