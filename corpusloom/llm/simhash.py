@@ -240,17 +240,20 @@ def _masks(budget: int, depth: int) -> list[int]:
 
 
 def near_duplicates(df: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, th, fp, component_id), component_id being the smallest id reachable by links."""
+    """Rows (doc_id, th, fp, group, component_id).
+
+    group is the component as its least fingerprint, and component_id the
+    smallest id in it. Components are of fingerprints: null ids and ids that
+    several texts share neither cut nor join them.
+    """
     rows = staged(fingerprints(df, id_col, text_col), "fingerprints")
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = link_groups(nodes.select("fp"), budget).distinct()
-    # From fingerprints to the smallest document of each; a link may run either way then.
-    a = nodes.select(F.col("fp").alias("a"), F.col("least").alias("da"))
-    b = nodes.select(F.col("fp").alias("b"), F.col("least").alias("db"))
-    edges = found.join(a, "a").join(b, "b").select(F.greatest("da", "db").alias("child"), F.least("da", "db").alias("parent"))
-    roots = components(edges)
-    named = nodes.join(roots, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("root", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "th", "fp", "component_id")
+    roots = components(found.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")))
+    named = staged(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("group")), "groups")
+    ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = named.select("fp", "group").join(ids, "group")
+    return rows.join(named, "fp").select("doc_id", "th", "fp", "group", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,14 @@ def test_simhash(cases, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_links_through_null_ids(spark, monkeypatch):
+    rows = [(5, 1, 0), (None, 2, 7), (3, 3, 63), (None, 4, -1), (None, 5, -2), (9, 6, 0x0F0F0F0F), (9, 7, 0x0F0F0F0F00000000)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame(rows, "doc_id long, th long, fp long"))
+    got = {r.th: (r.component_id, r.group) for r in simhash.near_duplicates(spark.range(1)).collect()}
+    assert [got[i][0] for i in range(1, 8)] == [3, 3, 3, None, None, 9, 9]
+    assert got[1] == got[2] == got[3] and got[4] == got[5] and len({g for _, g in got.values()}) == 4
+
+
 @pytest.mark.parametrize("group", [20_000, 40, 2])
 def test_trie_links_survive_cuts(spark, group):
     rng = np.random.default_rng(3)
