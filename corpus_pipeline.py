@@ -39,9 +39,7 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     rows = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = rows.groupBy("doc_id", "component_id").agg(F.min("th").alias("th")).where("doc_id is not null")
-    lone = rows.where("doc_id is null").groupBy("doc_id", "fp").agg(F.min("th").alias("th"))
-    named = first.select("doc_id", "th").unionByName(lone.select("doc_id", "th"))
+    named = rows.groupBy("group", "doc_id").agg(F.min("th").alias("th")).select("doc_id", "th")
     kept = keep(docs, named).withColumn("__th", F.xxhash64("text"))
     return kept.dropDuplicates(["doc_id", "__th"]).drop("__th")
 

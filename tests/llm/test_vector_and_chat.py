@@ -225,6 +225,13 @@ def test_pipeline_stages(spark, small):
     assert corpus_pipeline.stage_packing(spark, docs, small).count() >= docs.count()
 
 
+def test_simhash_stage_keeps_unrelated_texts_of_one_id(spark):
+    texts = ["the river bends near an old mill and a stone bridge", "quarterly figures rose while costs of freight went down"]
+    rows = [(1, texts[0], "en", "a", 0), (1, texts[1], "en", "a", 0), (1, texts[1], "en", "a", 0), (2, texts[0], "en", "a", 0), (None, texts[1], "en", "a", 0)]
+    out = corpus_pipeline.stage_simhash(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted((1, t) for t in texts)
+
+
 def test_pipeline_runs(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.count() > 0 and "sequence_id" in out.columns
