@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
 Records come in many layouts: message lists, prompt and completion pairs,
-instruction records, question and answer pairs. The set of a record's nested
-field paths (types aside, array elements as []) is hashed to a fingerprint,
+instruction records, question and answer pairs. A record's nested fields
+(types aside, those of all elements of a list) are hashed to a fingerprint,
 and a declarative mapping for that fingerprint says which paths hold the
 turns. The result is one canonical list of turns, and one text with marks
 around each turn and the character spans that a loss mask covers.
@@ -13,7 +13,7 @@ forge a mark and reading back restores each text exactly. Roles are
 percent-escaped, as they stand on the mark's line.
 
 Defined results: a null text counts as empty and a null role as ''; a record
-whose fingerprint no mapping has gives layout 'unknown' and null turns and is
+whose fingerprint no mapping has, or with a message that lacks a field, gives layout 'unknown' and null turns and is
 kept; turns with equal numbers are ordered by role and text; repeated rows are
 repeated turns; an empty table gives no rows; extra columns are ignored.
 """
@@ -61,24 +61,39 @@ MAPPINGS = (
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def field_paths(record: Column) -> Column:
-    """Sorted nested field paths of a JSON text, two levels deep, with list elements as []."""
-    v = F.try_parse_json(record)
-    keys = F.json_object_keys(record)
+LEAF = r"(?:STRING|BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL\([0-9, ]+\)|VOID|VARIANT|OBJECT<>)"
 
-    def below(k: Column) -> Column:
-        value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("']")))
-        first = F.get_json_object(value, "$[0]")
-        inner = F.transform(F.coalesce(F.json_object_keys(value), F.array().cast("array<string>")), lambda c: F.concat(k, F.lit("."), c))
-        element = F.transform(F.coalesce(F.json_object_keys(first), F.array().cast("array<string>")), lambda c: F.concat(k, F.lit("[]."), c))
-        return F.concat(F.array(k), F.when(F.ltrim(value).startswith("["), element).otherwise(inner))
 
-    return F.when(v.isNotNull() & keys.isNotNull(), F.array_sort(F.array_distinct(F.flatten(F.transform(keys, below)))))
+def shape(v: Column) -> Column:
+    """All nested fields of a variant, types aside: the union over the elements of each list, at any depth."""
+    s = F.schema_of_variant(v)
+    for _ in range(3):  # lists of plain values are plain values
+        s = F.regexp_replace(s, f"ARRAY<{LEAF}>", "VOID")
+    return F.regexp_replace(s, f": {LEAF}(?=[,>])", "")
 
 
-def fingerprint(paths: Column) -> Column:
-    """64-bit hash of a list of field paths."""
-    return F.xxhash64(F.array_join(paths, "\n"))
+def shape_of(paths: tuple[str, ...]) -> str:
+    """The shape of a record with these field paths."""
+    tree: dict = {}
+    for p in paths:
+        node = tree
+        for k in p.split("."):
+            node = node.setdefault(k.removesuffix("[]"), {})
+    lists = {k.split("[]")[0] for k in paths if "[]" in k}
+
+    def told(node: dict, top: bool = True) -> str:
+        out = []
+        for k in sorted(node):
+            inner = told(node[k], False) if node[k] else ""
+            out.append(k + (": " + (f"ARRAY<{inner}>" if top and k in lists else inner) if inner else ""))
+        return f"OBJECT<{', '.join(out)}>"
+
+    return told(tree)
+
+
+def fingerprint(shape: Column) -> Column:
+    """64-bit hash of a shape."""
+    return F.xxhash64(shape)
 
 
 def _message(m: Mapping):
@@ -95,7 +110,8 @@ def _message(m: Mapping):
 def from_records(df: DataFrame, record_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Add layout, fingerprint and turns (array of role, text) to a column of JSON records of any layout."""
     r = F.col(record_col)
-    df = df.withColumn("fingerprint", fingerprint(field_paths(r)))
+    v = F.try_parse_json(r)
+    df = df.withColumn("fingerprint", F.when(v.isNotNull(), fingerprint(shape(v))))
     turn_type = "array<struct<role:string,text:string>>"
     layout, turns = F.lit("unknown"), F.lit(None).cast(turn_type)
     for m in mappings:
@@ -106,7 +122,12 @@ def from_records(df: DataFrame, record_col: str, mappings: tuple[Mapping, ...] =
                 lists.append(F.transform(F.from_json(value, "array<map<string,string>>"), _message(m)))
             else:
                 lists.append(F.array(F.struct(F.lit(role).alias("role"), F.coalesce(value, F.lit("")).alias("text"))))
-        here = F.col("fingerprint") == fingerprint(F.array(*[F.lit(p) for p in sorted(m.paths)]))
+        here = F.col("fingerprint") == fingerprint(F.lit(shape_of(m.paths)))
+        for path in (path for role, path in m.turns if role is None):
+            # A list has the union of its messages' fields; each message must hold all that the mapping reads.
+            each = shape_of(tuple(sorted((m.role_field, m.text_field))))
+            fits = F.forall(F.try_variant_get(v, path, "array<variant>"), lambda x: F.coalesce(shape(x) == each, F.lit(False)))
+            here = here & F.coalesce(fits, F.lit(False))
         layout = F.when(here, m.name).otherwise(layout)
         turns = F.when(here, F.concat(*lists).cast(turn_type)).otherwise(turns)
     return df.withColumn("layout", layout).withColumn("turns", turns)

@@ -160,6 +160,14 @@ def test_chat_layouts(spark):
     assert turns["instruction_input"] == [("user", "do"), ("user", "x"), ("assistant", "a")] and turns["unknown"] is None
 
 
+def test_chat_layouts_read_every_message(spark):
+    a, b = {"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}
+    lists = [[a, b], [a, {"from": "gpt", "value": "a"}], [{"role": "user"}, b], [a, {"role": "assistant", "text": "a"}], [a, {"role": "assistant", "content": {"x": 1}}], [a, {"role": "assistant", "content": 5}], [{"role": "user", "content": None}, b], [a, None]]
+    records = [{"messages": x} for x in lists] + [{"prompt": '{"x": 1}', "completion": "[a"}]
+    got = [r.layout for r in chat.from_records(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i long, record string"), "record").orderBy("i").collect()]
+    assert got == ["messages", "unknown", "unknown", "unknown", "unknown", "messages", "messages", "unknown", "prompt_completion"]
+
+
 def test_chat_digest(spark, small):
     r = {x.conv_id: x for x in queries.QUERIES["op5_chat"](spark, small).collect()}[-1]
     t = chat.EXTRA_TEXT
