@@ -6,15 +6,20 @@ hold it and how often. Bucket by bucket the distinct pre-tokens of all batches
 are merged and each one's pieces are counted once; the counts go back to the
 batches, where they are weighted by the frequencies and summed by document.
 Token ids are never kept. A pre-token that stands in every document costs one
-entry a batch, so no bucket is hot.
+entry a batch, so no bucket is hot. A bucket's entries stream through its task
+in Arrow batches; what the task keeps is one number for each distinct pre-token
+of the bucket. There are at most MAX_BUCKETS buckets, so that the entries of a
+batch stay dozens of pre-tokens long whatever the size of the corpus.
 
 Pre-tokens come from a pattern that was compared with the tokenizer's own for
 every code point; texts outside the code points where both agree go through
 the tokenizer's own pre-tokenizer.
 
 Defined results: a null text counts as empty and has 0 bytes and 0 tokens;
-repeated rows each get their row; an empty table gives no rows; texts of any
-length are counted whole; extra columns are ignored.
+repeated rows each get their row; null ids stay null and take nothing from the
+ids beside them; an empty table gives no rows; texts of any length are counted
+whole; extra columns are ignored. No result depends on an order, so there are
+no ties.
 """
 
 from __future__ import annotations
@@ -25,7 +30,6 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -39,6 +43,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: Code points on whose classes the pattern and the tokenizer agree.
 AGREED = regex.compile("[\\0-՗֐-ࢎऀ-౛Ḁ-⁯₠-₿℀-⯿　-鿿가-힣＀-￯\U0001f300-\U0001faff]*+")
 BATCH_DOCS, BATCH_CHARS = 4096, 16_000_000
+MIN_BUCKETS, MAX_BUCKETS = 16, 4096
 LIMIT = 1024
 _loaded: dict = {}
 
@@ -158,44 +163,46 @@ def _words(raw: bytes) -> list[bytes]:
 def _bucket_counter(path: str):
     """Per bucket: count each distinct pre-token once, and give each batch its counts in its own order."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = vocabulary(path)
-        lists = [_words(r) for r in rows["tokens"]]
-        distinct = list(set().union(*lists))
         found: dict[bytes, int] = {}
-        for i in range(0, len(distinct), 20_000):
-            part = distinct[i : i + 20_000]
-            found.update(zip(part, map(len, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False))))
-        out = [zstandard.compress(np.fromiter(map(found.__getitem__, x), "<u4", len(x)).tobytes(), 1) for x in lists]
-        return pd.DataFrame({"batch": rows["batch"], "bucket": rows["bucket"], "counts": out})
+        for b in batches:
+            lists = [_words(r) for r in b.column("tokens").to_pylist()]
+            fresh = list(set().union(*lists).difference(found))
+            for i in range(0, len(fresh), 20_000):
+                part = fresh[i : i + 20_000]
+                found.update(zip(part, map(len, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False))))
+            out = [zstandard.compress(np.fromiter(map(found.__getitem__, x), "<u4", len(x)).tobytes(), 1) for x in lists]
+            yield pa.RecordBatch.from_arrays([b.column("batch"), b.column("bucket"), pa.array(out, pa.binary())], names=["batch", "bucket", "counts"])
 
     return run
 
 
-def _summed(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    """Per batch: frequencies times piece counts, summed by document."""
-    r = rows.iloc[0]
-    per = [np.frombuffer(zstandard.decompress(x), "<u4") for x in counts.sort_values("bucket")["counts"]]
+def _summed(rows: pa.Table, counts: pa.Table) -> pa.Table:
+    """Per batch: frequencies times piece counts, summed by document. Ids stay in Arrow, so null ids change no others."""
+    r = rows.select(["special", "df", "docs", "freq"]).to_pylist()[0]
+    per = [np.frombuffer(zstandard.decompress(x), "<u4") for x in counts.sort_by("bucket").column("counts").to_pylist()]
     per = np.concatenate(per) if per else np.empty(0, "<u4")
     df = np.frombuffer(zstandard.decompress(r["df"]), "<u4")
     special = np.frombuffer(r["special"], np.int64)
     weights = np.repeat(per, df).astype(np.float64) * _unplanes(r["freq"])
     n = np.bincount(_unplanes(r["docs"]), weights, minlength=len(special)).astype(np.int64) + special
-    return pd.DataFrame({"doc_id": pd.array(list(r["doc_id"]), dtype="Int64"), "n_bytes": list(r["n_bytes"]), "n_tokens": n})
+    ids, sizes = (rows.column(c).combine_chunks().flatten() for c in ("doc_id", "n_bytes"))
+    return pa.table({"doc_id": ids, "n_bytes": sizes, "n_tokens": pa.array(n)})
 
 
 def count_tokens(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens); vocab: the path of a tokenizer file on every executor."""
     spark = df.sparkSession
     ship(spark)
-    n_buckets = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     split = staged(docs.mapInArrow(_splitter(vocab, n_buckets), SPLIT_SCHEMA), "pretokens")
     words = split.where("bucket >= 0").select("batch", "bucket", "tokens")
-    counts = words.groupBy("bucket").applyInPandas(_bucket_counter(vocab), "batch long, bucket int, counts binary")
+    counts = words.groupBy("bucket").applyInArrow(_bucket_counter(vocab), "batch long, bucket int, counts binary")
     rows = split.where("bucket < 0").select("batch", "doc_id", "n_bytes", "special", "df", "docs", "freq")
-    return rows.groupBy("batch").cogroup(counts.groupBy("batch")).applyInPandas(_summed, "doc_id long, n_bytes long, n_tokens long")
+    return rows.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
