@@ -3,28 +3,32 @@
 Each document is tokenised once. Whole windows are cut from its front; what
 remains has a length below the window. The histogram of these lengths (at most
 one number for each length) goes to the driver. Shallow combinations that fill
-a window exactly, k times a and once the rest (k up to 4), are enumerated;
-non-negative least squares finds how often to repeat each so that the histogram
-is used up; the counts are rounded down and topped up greedily; what is left
-is packed greedily into one stream that is cut at window ends. Only the last
-window of that stream has padding.
+a window exactly are enumerated: k times a and once the rest (k up to 4), and
+three different lengths that the histogram has. Non-negative least squares finds
+how often to repeat each so that the histogram is used up; the counts are
+rounded and topped up greedily, as far as lengths last; what is left is packed
+greedily into one stream that is cut at window ends. Only the last window of
+that stream has padding. `Plan.placed` is the share of remainders that the
+combinations place.
 
 A document's rank among those of its length decides its place, so every
 document finds its windows alone.
 
 Defined results: a null text counts as empty and has the end id alone; texts of
-any length are packed whole; repeated rows are packed each; an empty table
-gives no rows; extra columns are ignored.
+any length are packed whole; repeated rows are packed each; null ids stay null
+and take nothing from the ids beside them; documents of equal length are ranked
+by their place in the table; an empty table gives no rows; extra columns are
+ignored. Ids of vocabularies over 65,536 entries are kept in 32 bits.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -68,23 +72,26 @@ class ChunkEncoder:
         self.bare = Tokenizer.from_str(json.dumps(bare))
         suffix = bare["model"]["end_of_word_suffix"]
         ends = [i for t, i in self.bare.get_vocab().items() if t.endswith(suffix)]
-        self.ends = np.zeros(1 << 16, bool)
+        entries = max([self.full.get_vocab_size(with_added_tokens=True), *(i + 1 for i in self.full.get_vocab().values())])
+        self.dtype = id_type(entries)
+        self.ends = np.zeros(entries, bool)
         self.ends[ends] = True
         self.known: dict[str, bytes] = {"": b""}
 
     def _whole(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 10_000):
             for e in self.full.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False):
-                yield np.array(e.ids, "<u2").tobytes()
+                yield np.array(e.ids, self.dtype).tobytes()
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
         """Ids of single words, many in one call: each word's last token, and no other, ends a word."""
         for i in range(0, len(words), 5_000):
             part = words[i : i + 5_000]
-            ids = np.array(self.bare.encode(" ".join(part), add_special_tokens=False).ids, "<u2")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 2
-            if len(cuts) != len(part):
-                raise ValueError("a word ended in no end-of-word token")
+            ids = np.array(self.bare.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(cuts) != len(part):  # a word whose last token does not end it: each word by itself
+                yield from self._whole(part)
+                continue
             raw = ids.tobytes()
             yield from (raw[a:b] for a, b in zip([0, *cuts.tolist()], cuts.tolist()))
 
@@ -104,7 +111,7 @@ class ChunkEncoder:
         known.update(zip(other, self._whole(other)))
 
     def encode(self, texts: pa.Array, end_id: int | None) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 16-bit numbers."""
+        """Each text's ids as little-endian unsigned numbers of `dtype`."""
         plain = pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([.,])", r"\1 \2")
         lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, NOT_PLAIN), texts, plain))
         coded = lists.values.dictionary_encode()
@@ -119,11 +126,16 @@ class ChunkEncoder:
         ids = np.empty(len(found), object)
         ids[:] = found
         parts = ids[coded.indices.to_numpy()].tolist()
-        end = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
+        end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         ends = lists.offsets.to_pylist()
         return [b"".join(parts[a:b]) + end for a, b in zip(ends, ends[1:])]
 
 
+def id_type(entries: int) -> str:
+    """The narrowest unsigned type that holds the ids of a vocabulary."""
+    return "<u2" if entries <= 1 << 16 else "<u4"
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -133,48 +145,61 @@ def _tokeniser(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = ChunkEncoder(path)
+        width = np.dtype(_encoders[path].dtype).itemsize
         rid = TaskContext.get().partitionId() << 33
         for b in batches:
             for a in range(0, b.num_rows, 2048):
                 part = b.slice(a, 2048)
                 ids = _encoders[path].encode(part.column(1), end_id)
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(range(rid, rid + n), pa.int64()), part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(range(rid, rid + n), pa.int64()), part.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
                 rid += n
 
     return run
 
 
-def combinations(window: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(k, a, rest) of every combination of k times a and once rest that fills the window."""
-    found = {}
+def combinations(window: int, lengths: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Every shallow combination that fills the window, a row of up to depth + 1 ascending lengths padded by zeros.
+
+    k times a and once the rest, for all lengths, and three different ones out of `lengths`.
+    """
+    found = set()
     for k in range(1, depth + 1):
         for a in range(1, window // k + 1):
             rest = window - k * a
-            key = tuple(sorted([a] * k + ([rest] if rest else [])))
             if a < window and (rest or k > 1):
-                found.setdefault(key, (k, a, rest))
-    return tuple(np.array(x, np.int64) for x in zip(*found.values())) if found else (np.empty(0, np.int64),) * 3
-
-
-def nnls(k: np.ndarray, a: np.ndarray, rest: np.ndarray, h: np.ndarray, rounds: int = 2000) -> np.ndarray:
+                found.add(tuple(sorted([0] * (depth - k) + [a] * k + [rest])))
+    rows = [np.array(sorted(found), np.int64).reshape(-1, depth + 1)]
+    has = np.zeros(window, bool)
+    has[lengths] = True
+    for a in np.unique(lengths).tolist():
+        b = np.arange(a + 1, (window - a + 1) // 2)  # a < b < c
+        b = b[has[b] & has[window - a - b]]
+        three = np.zeros((len(b), depth + 1), np.int64)
+        three[:, -3], three[:, -2], three[:, -1] = a, b, window - a - b
+        rows.append(three)
+    return np.concatenate(rows)
+
+
+def nnls(combos: np.ndarray, h: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Repeat counts x >= 0 with least squares distance of the used lengths to h, by accelerated projected gradients."""
-    n = len(h)
+    n, columns = len(h), [c for c in combos.T if c.any()]
 
     def used(x: np.ndarray) -> np.ndarray:
-        u = np.bincount(a, k * x, n) + np.bincount(rest, x, n)
+        u = sum((np.bincount(c, x, n) for c in columns), np.zeros(n))
         u[0] = 0
         return u
 
     def back(r: np.ndarray) -> np.ndarray:
-        return k * r[a] + np.where(rest > 0, r[rest], 0)
+        r = np.concatenate([[0], r[1:]])
+        return sum((r[c] for c in columns), np.zeros(len(combos)))
 
-    v, top = np.ones(len(k)), 1.0
+    v, top = np.ones(len(combos)), 1.0
     for _ in range(30):
         v = back(used(v))
         top = np.linalg.norm(v)
         v /= top or 1.0
-    x = y = np.zeros(len(k))
+    x = y = np.zeros(len(combos))
     t = 1.0
     for _ in range(rounds):
         nxt = np.maximum(0, y - back(used(y) - h) / (top * 1.02))
@@ -193,34 +218,34 @@ class Plan:
         for length, n in hist.items():
             h[length] = n
         h[0] = 0
-        k, a, rest = combinations(window)
-        left, count_ = h.copy(), np.zeros(len(k), np.int64)
-        if h.any() and len(k):
-            x = nnls(k, a, rest, h.astype(float))
-            wanted = np.floor(x + 1e-6).astype(np.int64)
-            for most in (wanted, None):  # rounded counts first, then whatever still fits
-                for p in np.argsort(-x, kind="stable"):
-                    m = k[p] + (a[p] == rest[p])
-                    n = left[a[p]] // m
-                    if rest[p] and rest[p] != a[p]:
-                        n = min(n, left[rest[p]])
-                    n = n if most is None else min(n, most[p])
-                    if n > 0:
-                        count_[p] += n
-                        left[a[p]] -= n * k[p]
-                        if rest[p]:
-                            left[rest[p]] -= n
+        combos = combinations(window, np.flatnonzero(h))
+        left, repeats = h.copy(), {}
+        x = nnls(combos, h.astype(float)) if h.any() and len(combos) else np.zeros(len(combos))
+        order = np.argsort(-x, kind="stable")
+        for most in (np.rint(x).astype(np.int64), None):  # rounded counts first, then whatever still fits
+            at = order if most is None else order[most[order] > 0]
+            # Of combinations that lack a length from the start none can be used.
+            for p in at[((combos[at] == 0) | (left[combos[at]] > 0)).all(axis=1)].tolist():
+                need = Counter(c for c in combos[p].tolist() if c)
+                n = min(int(left[c]) // m for c, m in need.items())
+                n = n if most is None else min(n, int(most[p]))
+                if n > 0:
+                    repeats[p] = repeats.get(p, 0) + n
+                    for c, m in need.items():
+                        left[c] -= n * m
+        self.placed = 1 - int(left.sum()) / max(1, int(h.sum()))
         self.full_base = np.zeros(window, np.int64)
         base = 0
         for length in range(window):
             self.full_base[length] = base
             base += full.get(length, 0)
         slots: dict[int, list[tuple[int, int, int]]] = {}
-        for p in np.flatnonzero(count_):
-            for i in range(k[p] + (rest[p] > 0)):
-                length, at = (a[p], i * a[p]) if i < k[p] else (rest[p], k[p] * a[p])
-                slots.setdefault(int(length), []).append((int(count_[p]), base, int(at)))
-            base += count_[p]
+        for p, times in repeats.items():
+            at = 0
+            for length in combos[p][combos[p] > 0].tolist():
+                slots.setdefault(length, []).append((times, base, at))
+                at += length
+            base += times
         self.ends = {n: np.cumsum([s[0] for s in v]) for n, v in slots.items()}
         self.slots = {n: (np.array([s[1] for s in v]), np.array([s[2] for s in v])) for n, v in slots.items()}
         self.stream_base = base
@@ -248,25 +273,30 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def _placer(plan: Plan, with_ids: bool):
+    """mapInArrow function: tokenised documents with their ranks to pieces; ids of documents stay in Arrow."""
     w = plan.window
+    names = [x.split()[0] for x in PIECES.split(", ")][1:]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for doc, n, raw, j, windows in zip(f["doc_id"].array, f["n"].to_numpy(), f["ids"], f["j"].to_numpy(), f["windows_before"].to_numpy()):
-                ids = np.frombuffer(raw, "<u2").astype("<u4")
-                whole, length = divmod(int(n), w)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, out, texts = [], [], []
+            for i, (n, raw, j, windows) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n", "ids", "j", "windows_before")))):
+                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
+                whole, length = divmod(n, w)
                 first = int(plan.full_base[length] + windows)
-                places = [(i * w, w, first + i, 0) for i in range(whole)]
+                places = [(k * w, w, first + k, 0) for k in range(whole)]
                 if length:
-                    places += [(whole * w + s, m, q, o) for s, m, q, o in plan.remainder(length, int(j))]
+                    places += [(whole * w + s, m, q, o) for s, m, q, o in plan.remainder(length, j)]
                 for s, m, q, o in places:
                     piece = ids[s : s + m]
-                    out.append((doc, s, m, zlib.crc32(piece.tobytes()), int(n), q, o) + ((piece.tolist(),) if with_ids else ()))
-            names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
-            made = pd.DataFrame(out, columns=names)
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made
+                    rows.append(i)
+                    out.append((s, m, zlib.crc32(piece.tobytes()), n, q, o))
+                    if with_ids:
+                        texts.append(piece)
+            made = [b.column("doc_id").take(pa.array(rows, pa.int64()))] + [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * len(names))]
+            if with_ids:
+                made.append(pa.array(texts, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", *names] + ["ids"] * with_ids)
 
     return run
 
@@ -284,7 +314,7 @@ def pack(df: DataFrame, vocab: str, window: int = WINDOW, end_id: int = END_ID,
     placed = running(running(lengths, ["rem"], ["rid"], F.lit(1), total, "j"), ["rem"], ["rid"], F.col("full"), total, "windows_before")
     placed = placed.select(F.col("rid").alias("prid"), "j", "windows_before")
     joined = t.join(placed.hint("shuffle_hash"), F.col("rid") == F.col("prid")).select("doc_id", "n", "ids", "j", "windows_before")
-    return joined.mapInPandas(_placer(plan, with_ids), PIECES + (", ids array<long>" if with_ids else ""))
+    return joined.mapInArrow(_placer(plan, with_ids), PIECES + (", ids array<long>" if with_ids else ""))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
