@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import first_by_hash
 from corpusloom.session import read_table, ship, staged
 
 MAX_FIT = 20_000
@@ -187,7 +188,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(found: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Gam:
     """The model from features (doc_id, x) and labels (doc_id, quality) of ids that are not held out."""
     marked = labels.select(F.col("doc_id").cast("long").alias("lid"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("lid")))
-    rows = found.join(marked, F.col("doc_id") == F.col("lid")).select("x", "y", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "y", "x").limit(max_fit).collect()
+    known = found.join(marked, F.col("doc_id") == F.col("lid")).select("x", "y", "doc_id")
+    rows = first_by_hash(known, known.count(), max_fit, "doc_id", "y", "x").collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, len(NAMES))
     return Gam(x, np.array([r["y"] for r in rows], float))
 
