@@ -1,18 +1,22 @@
 """Embedding near-duplicates over a pivot-permutation index.
 
-Each vector is described by its `prefix` nearest reference points (pivots) in
-order. Every pivot has an inverted list of the vectors that name it. Within a
-list, vectors are retrieved that share at least `shared` pivots (all, where
-there are fewer), and verified by cosine in double precision. A pair that meets in several lists counts in
-that of its smallest shared pivot alone. Lists are cut into blocks, and pairs
-of blocks are tasks of their own, so that a list of any length is done in
-bounded pieces. A task emits one row per vector: its links and its local root,
-never the pairs. Equal vectors are collapsed first and counted by weight.
+Each vector is described by its nearest reference points (pivots) in order, 8 of
+up to 1,024 pivots and more where there are more. Every pivot has an inverted
+list of the vectors that name it. Within a list, vectors are retrieved that
+share at least `shared` pivots (all, where there are fewer), and verified by
+cosine in double precision. A pair that meets in several lists counts in that
+of its smallest shared pivot alone; as this is never among the last
+`shared` - 1 that a vector names, it isn't entered there. Lists are cut
+into blocks, and pairs of blocks are tasks of their own, so that a list of any
+length is done in bounded pieces. A task emits one row per vector: its links
+and its local root, never the pairs. Equal vectors are collapsed first and
+counted by weight; vectors go about in the type they came in.
 
 The pivots are a sample of the distinct vectors, the first by hash: about the
-square root of their number, between MIN_PIVOTS and MAX_PIVOTS. A sampled
-vector within cosine NEAR of a pivot is passed over, so that a large group of
-near copies doesn't fill the pivots with its own members.
+square root of their number, between MIN_PIVOTS and MAX_PIVOTS, and no more
+than PIVOT_BYTES hold. A sampled vector within cosine NEAR of a pivot is passed
+over, so that a large group of near copies doesn't fill the pivots with its own
+members.
 
 A vector whose nearest pivot lies within NEAR and one link of it is at home in
 that pivot's cell, and is compared there with every vector that can link with
@@ -24,8 +28,10 @@ README gives the recall against brute force.
 
 Defined results: vectors that are null, empty, all zero, or hold null or
 non-finite components link with nothing and stand alone; vectors of different
-lengths never link; rows that repeat an id with another vector share that id's
-node; an empty table gives no rows; extra columns are ignored.
+lengths never link; each row is a vector of its own, also where it repeats an
+id, a vector or both, and equal vectors link; a null id takes part, but is a
+component's smallest only if it has no other (its component_id is null then);
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,19 +43,29 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from corpusloom.llm.common import components
+from corpusloom.llm.common import components, first_by_hash
 from corpusloom.session import read_table, ship, staged
 
 THRESHOLD = 0.95
-PREFIX, SHARED, BLOCK = 8, 3, 2048
+SHARED = 3
+#: Pivots that a vector names: up to so many pivots in all, and beyond.
+PREFIXES, LONGEST = ((1024, 8), (4096, 10)), 12
 MIN_PIVOTS, MAX_PIVOTS = 256, 32_768
+#: What all pivots hold in double precision, and what a block's vectors do.
+PIVOT_BYTES, BLOCK_BYTES = 32 << 20, 8 << 20
 #: No two pivots are as near as this.
 NEAR = 0.9
 #: Slack for rounding in bounds, and the home of a vector that has none.
 EPS, NOWHERE = 1e-6, 2**31 - 1
 
 
+def prefix_of(n_pivots: int) -> int:
+    """How many pivots a vector names. The share of near pairs that have 3 in common falls as pivots grow more, and rises with the names."""
+    return next((n for most, n in PREFIXES if n_pivots <= most), LONGEST)
+
+
 def thinned(sample: np.ndarray, wanted: int) -> np.ndarray:
     """Up to `wanted` of the sample's unit vectors, in order, none within cosine NEAR of one before it."""
     kept = sample[:0]
@@ -67,9 +83,16 @@ def thinned(sample: np.ndarray, wanted: int) -> np.ndarray:
     return kept[:wanted]
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; scaled first, so that no square leaves its range."""
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def cosines(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     d = min(v.shape[1], pivots.shape[1])
-    return (v[:, :d] / np.linalg.norm(v, axis=1, keepdims=True)) @ pivots[:, :d].T
+    return unit(v)[:, :d] @ pivots[:, :d].T
 
 
 def by_nearness(near: np.ndarray, prefix: int) -> np.ndarray:
@@ -101,7 +124,7 @@ def cells(near: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.nd
 LISTS = "pivot int, dim int, id long, w long, v binary, named binary, home int, angle double"
 
 
-def _lister(pivots: np.ndarray, prefix: int, threshold: float):
+def _lister(pivots: np.ndarray, prefix: int, shared: int, threshold: float):
     """mapInArrow function: vectors to their entries in inverted lists, and in cells (pivot -1 - p)."""
     schema = pa.schema([("pivot", pa.int32()), ("dim", pa.int32()), ("id", pa.int64()), ("w", pa.int64()), ("v", pa.binary()), ("named", pa.binary()), ("home", pa.int32()), ("angle", pa.float64())])
 
@@ -111,10 +134,11 @@ def _lister(pivots: np.ndarray, prefix: int, threshold: float):
         near = cosines(v, pivots)
         home, row, cell = cells(near, pivots, threshold)
         alone = np.flatnonzero(home == NOWHERE)
-        named = by_nearness(near[alone], prefix) if len(alone) else np.zeros((0, 1), np.int32)
+        named = np.sort(by_nearness(near[alone], prefix), axis=1) if len(alone) else np.zeros((0, 1), np.int32)
         raw, tags = [x.tobytes() for x in v], dict(zip(alone.tolist(), (x.tobytes() for x in named)))
-        pivot = np.concatenate([named.ravel(), -1 - cell]).astype(np.int32)
-        at = np.concatenate([np.repeat(alone, named.shape[1]), row])
+        entered = named[:, : max(1, named.shape[1] - shared + 1)]
+        pivot = np.concatenate([entered.ravel(), -1 - cell]).astype(np.int32)
+        at = np.concatenate([np.repeat(alone, entered.shape[1]), row])
         angle = np.arccos(np.clip(near[at, np.where(pivot < 0, -1 - pivot, pivot)], -1, 1))
         for s in range(0, len(at), 8192):
             r, p = at[s : s + 8192], pivot[s : s + 8192]
@@ -132,114 +156,129 @@ def _lister(pivots: np.ndarray, prefix: int, threshold: float):
     return run
 
 
-def shared_counts(a: np.ndarray, b: np.ndarray, pivot: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shared pivots of each pair, whether one of these is smaller than `pivot`), by merging posting lists."""
-    count = np.zeros((len(a), len(b)), np.uint8)
-    lower = np.zeros((len(a), len(b)), bool)
+def postings(named: np.ndarray) -> dict[int, np.ndarray]:
+    """The rows that name each pivot."""
+    order = np.argsort(named.ravel(), kind="stable")
+    values, starts = np.unique(named.ravel()[order], return_index=True)
+    return dict(zip(values.tolist(), np.split(order // named.shape[1], starts[1:])))
 
-    def postings(x: np.ndarray) -> dict[int, np.ndarray]:
-        order = np.argsort(x.ravel(), kind="stable")
-        values, starts = np.unique(x.ravel()[order], return_index=True)
-        return dict(zip(values.tolist(), np.split(order // x.shape[1], starts[1:])))
 
-    pa_, pb = postings(a), postings(b)
-    for p in pa_.keys() & pb.keys():
-        at = np.ix_(pa_[p], pb[p])
-        count[at] += 1
-        if p < pivot:
-            lower[at] = True
-    return count, lower
+def retrieved(a: dict[int, np.ndarray], b: dict[int, np.ndarray], shape: tuple[int, int], pivot: int, shared: int) -> np.ndarray:
+    """Which pairs share `shared` pivots or more and none smaller than `pivot`, which all name: posting lists merged to counts."""
+    count = np.ones(shape, np.int16)
+    for p in a.keys() & b.keys():
+        if p != pivot:
+            count[np.ix_(a[p], b[p])] += 1 if p > pivot else -1000
+    return count >= shared
 
 
 def _verifier(threshold: float, shared: int):
     """Per list or cell and pair of blocks: each vector's links and local root."""
 
+    def read(raw: pd.Series, d: int) -> np.ndarray:
+        flat = b"".join(raw)
+        return unit(np.frombuffer(flat, np.float32 if len(flat) == 4 * d * len(raw) else np.float64).reshape(-1, d))
+
+    def linked(va: np.ndarray, vb: np.ndarray, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates that pass, verified one by one where they are few among all pairs."""
+        i, j = np.nonzero(candidate)
+        if len(i) * 16 > candidate.size:
+            near = (va @ vb.T)[i, j]
+        else:
+            near = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", va[i[s : s + 65_536]], vb[j[s : s + 65_536]]) for s in range(0, len(i), 65_536))])
+        keep = near >= threshold
+        return i[keep], j[keep]
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        pivot, _, x, y = (int(k) for k in key)
+        pivot, d, x, y = (int(k) for k in key)
         sides = []
-        for side in (x, y):
+        for side in (x, y) if x != y else (x,):
             part = rows[rows["block"] == side]
-            v = np.array([np.frombuffer(r, np.float64) for r in part["v"]])
-            v = v / np.linalg.norm(v, axis=1, keepdims=True) if len(part) else v
-            sides.append((part["id"].to_numpy(), part["w"].to_numpy(), v, np.array([np.frombuffer(r, np.int32) for r in part["named"]]), part["home"].to_numpy()))
-        (ia, wa, va, na, ha), (ib, wb, vb, nb, hb) = sides
-        out = []
-        if len(ia) and len(ib):
-            ids = np.concatenate([ia, ib])
-            links = np.zeros(len(ids), np.int64)
-            root = ids.copy()
-            pairs = []
-            for s in range(0, len(ia), 512):
-                e = min(len(ia), s + 512)
-                if pivot < 0:
-                    candidate = np.minimum(ha[s:e, None], hb[None, :]) == -1 - pivot
-                else:
-                    count, lower = shared_counts(na[s:e], nb, pivot)
-                    candidate = (count >= min(shared, na.shape[1])) & ~lower
-                if x == y:
-                    candidate &= np.arange(s, e)[:, None] < np.arange(len(ib))[None, :]
-                cols = np.flatnonzero(candidate.any(axis=0))
-                if len(cols):
-                    i, j = np.nonzero(candidate[:, cols] & (va[s:e] @ vb[cols].T >= threshold))
-                    j = cols[j]
-                    np.add.at(links, s + i, wb[j])
-                    np.add.at(links, len(ia) + j, wa[s + i])
-                    pairs.append((s + i, len(ia) + j))
-            if pairs:
-                i, j = (np.concatenate(p) for p in zip(*pairs))
-                if x == y:
-                    j = j - len(ia)
-                    links[: len(ia)] += links[len(ia) :]
-                    links[len(ia) :] = 0
-                while True:
-                    low = np.minimum(root[i], root[j])
-                    before = root.copy()
-                    np.minimum.at(root, i, low)
-                    np.minimum.at(root, j, low)
-                    if (root == before).all():
-                        break
-                at = np.flatnonzero(links)
-                out = list(zip(ids[at].tolist(), links[at].tolist(), root[at].tolist()))
-        return pd.DataFrame(out, columns=["id", "links", "root"])
+            named = np.array([np.frombuffer(r, np.int32) for r in part["named"]]) if pivot >= 0 and len(part) else None
+            sides.append((part["id"].to_numpy(), part["w"].to_numpy(), read(part["v"], d) if len(part) else np.empty((0, d)), named, part["home"].to_numpy()))
+        (ia, wa, va, na, ha), (ib, wb, vb, nb, hb) = sides[0], sides[-1]
+        if not len(ia) or not len(ib):
+            return pd.DataFrame({"id": [], "links": [], "root": []}).astype(np.int64)
+        ids = ia if x == y else np.concatenate([ia, ib])
+        off = 0 if x == y else len(ia)
+        links = np.zeros(len(ids), np.int64)
+        pairs = []
+        post = postings(nb) if pivot >= 0 else None
+        for s in range(0, len(ia), 1024):
+            e = min(len(ia), s + 1024)
+            if pivot < 0:
+                candidate = np.minimum(ha[s:e, None], hb[None, :]) == -1 - pivot
+            else:
+                candidate = retrieved(postings(na[s:e]), post, (e - s, len(ib)), pivot, min(shared, na.shape[1]))
+            if x == y:
+                candidate &= np.arange(s, e)[:, None] < np.arange(len(ib))[None, :]
+            i, j = linked(va[s:e], vb, candidate)
+            if len(i):
+                np.add.at(links, s + i, wb[j])
+                np.add.at(links, off + j, wa[s + i])
+                pairs.append((s + i, off + j))
+        root = ids.copy()
+        if pairs:
+            i, j = (np.concatenate(p) for p in zip(*pairs))
+            while True:
+                low = np.minimum(root[i], root[j])
+                before = root.copy()
+                np.minimum.at(root, i, low)
+                np.minimum.at(root, j, low)
+                if (root == before).all():
+                    break
+        at = np.flatnonzero(links)
+        return pd.DataFrame({"id": ids[at], "links": links[at], "root": root[at]})
 
     return run
 
 
-def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, prefix: int = PREFIX, shared: int = SHARED, id_col: str = "vec_id", vec_col: str = "embedding", max_pivots: int = MAX_PIVOTS) -> DataFrame:
-    """Rows (vec_id, n_links, component_id, kept)."""
+def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, prefix: int | None = None, shared: int = SHARED, id_col: str = "vec_id", vec_col: str = "embedding", max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """Rows (vec_id, n_links, component_id, kept). prefix: pivots that a vector names (prefix_of their number if None)."""
     spark = df.sparkSession
     ship(spark)
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    fine = F.size(v).__gt__(0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = staged(df.select(F.col(id_col).cast("long").alias("vec_id"), F.when(v.isNotNull() & fine, v).alias("v")), "vectors")
-    distinct = staged(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")).select("id", "w", "v"), "distinct")
-    n = distinct.count()
-    wanted = int(min(max_pivots, max(MIN_PIVOTS, np.sqrt(n))))
-    sample = [r["v"] for r in distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(max(wanted, min(max_pivots, 4 * wanted))).collect()]
-    none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not sample:
-        return none
-    width = max(map(len, sample))
-    pivots = np.array([x + [0.0] * (width - len(x)) for x in sample])
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-    pivots = thinned(pivots, wanted)
-    lists = staged(distinct.mapInArrow(_lister(pivots, prefix, threshold), LISTS), "lists")
+    v = F.col(vec_col)
+    if not isinstance(df.schema[vec_col].dataType.elementType, FloatType):
+        v = v.cast("array<double>")
+    fine = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.when(v.isNotNull() & fine, v).alias("v"))
+    # 128 bits of hash stand for a vector; a null vector has none.
+    keys = [F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(i), "v")).alias(f"h{i}") for i in (1, 2)]
+    rows = staged(rows.select("vec_id", "v", *keys), "vectors")
+    distinct = rows.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("w"), F.any_value("v").alias("v"))
+    distinct = staged(distinct.select(F.monotonically_increasing_id().alias("id"), "w", "v", "h1", "h2", "least"), "distinct")
+    size = distinct.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    if not size["n"]:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    most = max(1, min(max_pivots, PIVOT_BYTES // (8 * size["width"])))
+    wanted = int(min(most, max(MIN_PIVOTS, np.sqrt(size["n"]))))
+    sample = first_by_hash(distinct.select("v", "h1", "h2"), size["n"], min(4 * wanted, max(wanted, most)), "h1", "h2").select("v").toArrow()
+    pivots = np.zeros((sample.num_rows, size["width"]))
+    for i, x in enumerate(sample.column("v")):
+        x = x.values.to_numpy(zero_copy_only=False)
+        pivots[i, : len(x)] = x
+    pivots = thinned(unit(pivots), wanted)
+    lister = _lister(pivots, prefix or prefix_of(len(pivots)), shared, threshold)
+    lists = staged(distinct.select("id", "w", "v").mapInArrow(lister, LISTS), "lists")
     # Of those that a cell could hold, the ones that its farthest vector at home could link with.
     far = lists.where("home = -1 - pivot").groupBy("pivot", "dim").agg(F.max("angle").alias("far"))
     link = float(np.arccos(np.clip(threshold, -1, 1))) + EPS
-    lists = lists.join(F.broadcast(far), ["pivot", "dim"], "left").where((F.col("pivot") >= 0) | (F.col("angle") <= F.col("far") + link)).drop("far", "angle")
-    sizes = lists.groupBy("pivot", "dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    # Both tables have a row for each pivot and length: no more than a batch of pivots times the lengths there are.
+    lists = lists.join(far, ["pivot", "dim"], "left").where((F.col("pivot") >= 0) | (F.col("angle") <= F.col("far") + link)).drop("far", "angle")
+    sizes = lists.groupBy("pivot", "dim").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = sizes.select("pivot", "dim", F.ceil(F.col("n") * F.col("dim") * 8 / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
     cut = lists.join(sizes, ["pivot", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("pivot", "dim", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "w", "v", "named", "home")
     found = staged(cut.groupBy("pivot", "dim", "x", "y").applyInPandas(_verifier(threshold, shared), "id long, links long, root long"), "found")
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("id").alias("child"), F.col("root").alias("parent")))
-    node = distinct.join(degree, "id", "left").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    node = node.select(F.col("v").alias("nv"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    joined = rows.join(node, F.col("v") == F.col("nv"), "left")
-    root = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id").eqNullSafe(root)).alias("kept"))
+    roots = components(found.select(F.col("id").alias("child"), F.col("root").alias("parent"))).select(F.col("node").alias("id"), "root")
+    node = distinct.select("id", "w", "h1", "h2", "least").join(degree, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = node.groupBy("root").agg(F.min("least").alias("component_id"))
+    node = node.join(least, "root").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
+    joined = rows.select("vec_id", "h1", "h2").join(node, ["h1", "h2"], "left")
+    root = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.col("vec_id").eqNullSafe(root).alias("kept"))
 
 
 def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,20 +287,22 @@ def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
 ), ok AS (
-  SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v
+  SELECT n, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v
   WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND len(a.v) = len(b.v)
+  SELECT a.n AS a, b.n AS b FROM ok a JOIN ok b ON a.n <> b.n AND a.norm > 0 AND b.norm > 0 AND len(a.v) = len(b.v)
   WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / (a.norm * b.norm) >= 0.95
 ), reach AS (
-  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  SELECT n AS a, n AS b FROM v
   UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT r.a, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.n = r.b GROUP BY r.a
 )
-SELECT e.vec_id,
-  (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
-  (SELECT min(b) FROM reach r WHERE r.a = e.vec_id) AS component_id,
-  e.vec_id = (SELECT min(b) FROM reach r WHERE r.a = e.vec_id) AS kept
-FROM embeddings e
+SELECT v.vec_id,
+  (SELECT count(*) FROM links l WHERE l.a = v.n) AS n_links,
+  component_id,
+  v.vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN least ON least.a = v.n
 """
