@@ -12,28 +12,37 @@ threshold is the k-th best exact score that the query has seen: first over a
 bounded sample of the candidates, which are candidates themselves and so prove
 it, then over the block.
 
-Queries go in blocks as well, and blocks of both sides meet by an equi-join on
-block numbers; neither side is broadcast.
+A block's index is built once for each QUERY_BLOCK queries, so a candidate moves
+once for as many; blocks of both sides meet by an equi-join on block numbers,
+and neither side is broadcast. Bounds are sums of whole numbers in double
+precision, which are exact below 2^53; where sums could be larger nothing is
+pruned.
 
 Defined results: vectors that are null or empty, or hold null or non-finite
 components, take no part, neither as query nor as candidate; null ids take no
 part; of repeated ids each row is a candidate, never for its own id; ties go
 to the smaller id; fewer than k candidates give all; an empty table gives no
-rows; only the components that both vectors have count.
+rows; only the components that both vectors have count; extra columns are
+ignored. Integers and scores have 64 bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
+from corpusloom.llm.common import first_by_hash
 from corpusloom.session import read_table, ship, staged
 
 K, SCALE, EVERY = 10, 1024, 100
-#: Candidates and queries in a block; vectors that set the first thresholds; levels of an impact.
-BLOCK, QUERY_BLOCK, SAMPLE, LEVELS = 65_536, 64, 2048, 64
+#: What the integers of a block of candidates hold; its least length where there is work for more tasks; queries in a block.
+BLOCK_BYTES, LEAST_BLOCK, QUERY_BLOCK = 32 << 20, 8192, 4096
+#: Vectors that set the first thresholds; levels of an impact at most, and vectors for each level.
+SAMPLE, LEVELS, PER_LEVEL = 2048, 64, 256
 #: After which part of the segments the proof is tried.
 PROOFS = (0.5, 0.65, 0.75, 0.85, 1.0)
 
@@ -50,9 +59,10 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 class ImpactIndex:
     """Posting segments of one block: for each dimension, vectors by quantised value."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, levels: int = LEVELS):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, levels: int | None = None):
         self.vectors, self.ids = vectors, ids
         n, d = vectors.shape
+        levels = levels or min(LEVELS, max(16, n // PER_LEVEL))
         self.low, high = vectors.min(axis=0), vectors.max(axis=0)
         self.width = np.maximum(1, -(-(high - self.low + 1) // levels))
         self.levels = levels
@@ -75,6 +85,7 @@ class ImpactIndex:
         gains = impact[dims, levels]
         falling = -np.sort(-impact, axis=1)
         base, up = int(least.sum()), q > 0
+        exact_sums = float(np.abs(most.astype(np.float64)).max(axis=1).sum()) < 2.0**50
         got = np.zeros(len(self.ids), np.int64)
         used = np.zeros(len(q), np.int64)
         reached = np.where(up, self.levels, -1)  # the last level taken in each dimension
@@ -98,8 +109,11 @@ class ImpactIndex:
             left = np.maximum(0, np.where(used < self.levels, falling[np.arange(len(q)), np.minimum(used, self.levels - 1)], 0))
             code = self.code[alive]
             unmet = (code < reached) & up | (code > reached) & ~up
-            # Sums in single precision are off by less than the slack that is added.
-            possible = base + got[alive] + (unmet.astype(np.float32) @ left.astype(np.float32)) * (1 + 1e-5) + 1 >= bar
+            possible = np.ones(len(alive), bool)
+            if exact_sums:
+                for s in range(0, len(alive), 16_384):
+                    part_unmet = unmet[s : s + 16_384].astype(np.float64) @ left.astype(np.float64)
+                    possible[s : s + 16_384] = base + got[alive[s : s + 16_384]] + part_unmet.astype(np.int64) >= bar
             alive = alive[possible]
             if len(alive) <= 16 * k:
                 break
@@ -109,42 +123,53 @@ class ImpactIndex:
         return alive[best], exact[best], taken
 
 
-def _matrix(raw: pd.Series, d: int) -> np.ndarray:
-    out = np.zeros((len(raw), d), np.int64)
-    for i, x in enumerate(raw):
-        out[i, : len(x)] = x
+def _matrix(lists: list[np.ndarray], d: int, scale: int) -> np.ndarray:
+    """Vectors as rows of integers, floor(scale * x), padded by zeros."""
+    out = np.zeros((len(lists), d), np.int64)
+    for i, x in enumerate(lists):
+        out[i, : len(x)] = np.clip(np.floor(np.asarray(x, np.float64) * scale), -(2.0**62), 2.0**62)
     return out
 
 
-def _search(k: int):
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of an Arrow column, without a copy."""
+    out = []
+    for c in column.chunks:
+        flat, ends = c.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(c.offsets.to_numpy()))
+        out += np.split(flat, ends[:-1]) if len(c) else []
+    return out
+
+
+def _search(k: int, scale: int):
     """Cogroup function: one block of queries against one block of candidates."""
 
-    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(rows):
-            d = int(max(queries["v"].map(len).max(), rows["v"].map(len).max()))
-            index = ImpactIndex(_matrix(rows["v"], d), rows["id"].to_numpy())
-            for qid, v, bar in zip(queries["id"], _matrix(queries["v"], d), queries["bar"]):
-                at, scores, _ = index.search(v, qid, k, None if pd.isna(bar) else int(bar))
-                out += [(qid, int(index.ids[i]), int(s)) for i, s in zip(at, scores)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        found, at_ids, at_scores = [], [], []
+        if queries.num_rows and rows.num_rows:
+            q, v = _lists(queries.column("v")), _lists(rows.column("v"))
+            d = max(map(len, q + v))
+            index = ImpactIndex(_matrix(v, d, scale), rows.column("id").to_numpy())
+            for qid, x, bar in zip(queries.column("id").to_pylist(), _matrix(q, d, scale), queries.column("bar").to_pylist()):
+                at, scores, _ = index.search(x, qid, k, bar)
+                found += [qid] * len(at)
+                at_ids.append(index.ids[at])
+                at_scores.append(scores)
+        none = np.empty(0, np.int64)
+        return pa.table({"query_id": pa.array(found, pa.int64()), "vec_id": np.concatenate([none, *at_ids]), "score": np.concatenate([none, *at_scores])})
 
     return run
 
 
-def _thresholds(k: int, sample_ids: np.ndarray, sample: np.ndarray):
-    """The k-th best score of each query over the sample, which no worse candidate can beat."""
+def _thresholds(k: int, sample_ids: np.ndarray, sample: list[np.ndarray], scale: int):
+    """mapInPandas function: the k-th best score of each query over the sample, which no worse candidate can beat."""
 
     def run(frames):
         for f in frames:
-            v = _matrix(f["v"], max(sample.shape[1], int(f["v"].map(len).max() if len(f) else 0)))
-            s = np.zeros((sample.shape[0], v.shape[1]), np.int64)
-            s[:, : sample.shape[1]] = sample
-            scores = v @ s.T
-            scores[f["id"].to_numpy()[:, None] == sample_ids[None, :]] = np.iinfo(np.int64).min
+            d = max([1, *map(len, sample), *map(len, f["v"])])
+            scores = _matrix(list(f["v"]), d, scale) @ _matrix(sample, d, scale).T
             bars = [None] * len(f)
-            for i, x in enumerate(scores):
-                x = x[x > np.iinfo(np.int64).min]
+            for i, (x, qid) in enumerate(zip(scores, f["id"])):
+                x = x[sample_ids != qid]
                 if len(x) >= k:
                     bars[i] = int(np.partition(x, -k)[-k])
             yield f.assign(bar=pd.array(bars, dtype="Int64"))
@@ -152,13 +177,13 @@ def _thresholds(k: int, sample_ids: np.ndarray, sample: np.ndarray):
     return run
 
 
-def integers(df: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Rows (id, v array of long) of the vectors that take part."""
+def taking_part(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Rows (id, v) of the vectors that take part, in the type they came in."""
     v = F.col(vec_col)
+    if not isinstance(df.schema[vec_col].dataType.elementType, FloatType):
+        v = v.cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return df.where(v.isNotNull() & (F.size(v) > 0) & fine & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long")).alias("v")
-    )
+    return df.where(v.isNotNull() & (F.size(v) > 0) & fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
 def search(df: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -169,20 +194,19 @@ def search(df: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY, sa
     """
     spark = df.sparkSession
     ship(spark)
-    rows = staged(integers(df, scale, id_col, vec_col), "vectors")
-    n = rows.count()
-    first = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).collect()
-    d = max([len(r["v"]) for r in first], default=1)
-    known = np.zeros((len(first), d), np.int64)
-    for i, r in enumerate(first):
-        known[i, : len(r["v"])] = r["v"]
-    queries = rows.where(F.col("id") % every == 0)
-    n_queries = queries.count()
-    queries = staged(queries.mapInPandas(_thresholds(k, np.array([r["id"] for r in first], np.int64), known), "id long, v array<long>, bar long"), "queries")
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    rows = staged(taking_part(df, id_col, vec_col), "vectors")
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.count_if(F.col("id") % every == 0).alias("queries")).first()
+    n, d = size["n"], size["d"] or 1
+    first = first_by_hash(rows, n, sample, "id", "v").toArrow()
+    known, known_ids = _lists(first.column("v")), first.column("id").to_numpy()
+    kind = rows.schema["v"].dataType.simpleString()
+    queries = staged(rows.where(F.col("id") % every == 0).mapInPandas(_thresholds(k, known_ids, known, scale), f"id long, v {kind}, bar long"), "queries")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-n * d * 8 // BLOCK_BYTES), min(width, n // LEAST_BLOCK))
+    query_blocks = max(1, -(-size["queries"] // QUERY_BLOCK))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = rows.withColumn("cb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(_search(k, scale), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
