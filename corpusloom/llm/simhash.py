@@ -11,8 +11,11 @@ top, where the joined node pairs have no differing bit; each top node is a
 group of its own. A group that is large is cut again the same way over its
 remaining bits. Within a group node pairs are walked together from the top,
 the differing bits of their paths are added up, and a pair over the budget is
-left. Each group emits a spanning forest of its links, never the pairs; a
-distributed union-find joins the forests.
+left; only pairs of nodes that hold a handful of fingerprints are compared
+outright. The node pairs of all groups of a task go down together, a bit at a
+time, as arrays. Each group emits a spanning forest of its links, never the
+pairs; a distributed union-find joins the forests. Nodes of that are
+fingerprints, so that null ids and ids of several texts neither cut nor join.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint 0, which links like any other; repeated rows share a component;
@@ -76,59 +79,73 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.mapInArrow(_fingerprints, "doc_id long, th long, fp long")
 
 
-def rotate(x: np.ndarray, left: int) -> np.ndarray:
-    left %= 64
-    return x if not left else (x << np.uint64(left)) | (x >> np.uint64(64 - left))
+#: Nodes whose pairs are compared outright hold no more fingerprints than this, by geometric mean.
+LEAF = 8
+#: Node pairs that go down together, which bounds a walk's memory, and links that are joined at once.
+FRONT, LINKS = 16_384, 1 << 18
 
 
-def trie_forest(fps: np.ndarray, budget: int, leaf: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (i, j) of sorted distinct fingerprints, by walking node pairs of their trie together.
+def leaf_pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j), i < j, of the runs [a, b) and [c, d), in pieces."""
+    wide = (d - c).astype(np.int64)
+    many = (b - a) * wide
+    ends = np.cumsum(many)
+    s = 0
+    while s < len(a):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + (1 << 21), "right")))
+        p = np.repeat(np.arange(s, e), many[s:e])
+        at = np.arange(len(p)) - np.repeat(ends[s:e] - many[s:e] - (ends[s - 1] if s else 0), many[s:e])
+        i, j = a[p] + at // wide[p], c[p] + at % wide[p]
+        yield i[i < j], j[i < j]
+        s = e
 
-    A node is a run of the sorted array. Pairs of nodes go down one bit at a
-    time with the differing bits so far; a pair over the budget is dropped;
-    small pairs are compared outright. The stack holds single node pairs, so
-    memory is bounded by the trie's depth and one block of comparisons.
+
+def trie_links(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, leaf: int = LEAF, walked: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (i, j) within groups [start, end) of fps, each sorted and distinct, by walking the node pairs of their tries together.
+
+    A node is a run of the sorted array whose bits above the current one are
+    equal. A front of node pairs goes down one bit: each pair gives up to four,
+    with one more differing bit where their branches differ, and those over
+    the budget are dropped. `walked` gets the number of pairs of each front.
     """
-    stack = [(0, len(fps), 0, len(fps), 63, 0)]
+    ones: dict[int, np.ndarray] = {}
+    starts, ends = starts.astype(np.int32), ends.astype(np.int32)
+    stack = [(63, starts[s : s + FRONT], ends[s : s + FRONT], starts[s : s + FRONT], ends[s : s + FRONT], np.zeros(len(starts[s : s + FRONT]), np.int8)) for s in range(0, len(starts), FRONT)]
     while stack:
-        a, b, c, d, bit, diff = stack.pop()
-        while True:
-            if a >= b or c >= d or diff > budget:
-                break
-            if (b - a) * (d - c) <= leaf * leaf or bit < 0:
-                for s in range(a, b, 1024):
-                    x = np.bitwise_count(fps[s : min(b, s + 1024), None] ^ fps[None, c:d])
-                    i, j = np.nonzero(x <= budget)
-                    i, j = i + s, j + c
-                    keep = i < j if (a, b) == (c, d) else slice(None)
-                    yield i[keep], j[keep]
-                break
-            # The next bit in which either node divides; where neither does, the path only adds to the difference.
-            mask = np.uint64(1 << bit)
-            prefix = ~np.uint64((1 << bit) - 1)
-            ma = int(np.searchsorted(fps[a:b], (fps[a] & prefix) | mask)) + a
-            mc = int(np.searchsorted(fps[c:d], (fps[c] & prefix) | mask)) + c
-            if (a, b) == (c, d):
-                stack.append((ma, b, ma, b, bit - 1, diff))
-                stack.append((a, ma, ma, b, bit - 1, diff + 1))
-                b = d = ma
-            else:
-                stack.append((ma, b, mc, d, bit - 1, diff))
-                stack.append((a, ma, mc, d, bit - 1, diff + 1))
-                stack.append((ma, b, c, mc, bit - 1, diff + 1))
-                b, d = ma, mc
-            bit -= 1
+        bit, a, b, c, d, diff = stack.pop()
+        if walked is not None:
+            walked.append(len(a))
+        small = (b - a).astype(np.int64) * (d - c) <= (leaf * leaf if bit >= 0 else np.iinfo(np.int64).max)
+        for i, j in leaf_pairs(a[small], b[small], c[small], d[small]):
+            near = np.bitwise_count(fps[i] ^ fps[j]) <= budget
+            yield i[near], j[near]
+        if small.all():
+            continue
+        a, b, c, d, diff = (x[~small] for x in (a, b, c, d, diff))
+        if bit not in ones:
+            ones[bit] = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1))]).astype(np.int32)
+        up = ones[bit]
+        ma, mc = b - (up[b] - up[a]), d - (up[d] - up[c])
+        two = a != c  # a node paired with itself has its two branches meet once
+        down = [(a, ma, c, mc, diff), (ma, b, mc, d, diff), (a, ma, mc, d, diff + 1), (ma[two], b[two], c[two], mc[two], diff[two] + 1)]
+        a, b, c, d, diff = (np.concatenate(x) for x in zip(*down))
+        on = (a < b) & (c < d) & (diff <= budget)
+        a, b, c, d, diff = (x[on] for x in (a, b, c, d, diff))
+        stack += [(bit - 1, *(x[s : s + FRONT] for x in (a, b, c, d, diff))) for s in range(0, len(a), FRONT)]
 
 
 def _union(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Component of each of n nodes as its smallest node."""
     label = np.arange(n)
-    for i, j in links:
+
+    def join(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        nonlocal label
+        i, j = (np.concatenate(x) for x in zip(*held))
         while True:
             a, b = label[i], label[j]
             differ = a != b
             if not differ.any():
-                break
+                return
             i, j, a, b = i[differ], j[differ], a[differ], b[differ]
             low, high = np.minimum(a, b), np.maximum(a, b)
             np.minimum.at(label, high, low)
@@ -137,20 +154,17 @@ def _union(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
                 if (up == label).all():
                     break
                 label = up
-    return label
 
-
-def group_forest(fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, root) of every fingerprint that has a smaller one in its component of the group."""
-    fps = np.unique(fps)
-    label = _union(len(fps), trie_forest(fps, budget))
-    at = np.arange(len(fps))
-    moved = label != at
-    return fps[moved], fps[label[moved]]
-
-
-#: Groups up to this size are leaves: their fingerprints are compared outright, those of many groups at once.
-LEAF = 64
+    held, size = [], 0
+    for x in links:
+        held.append(x)
+        size += len(x[0])
+        if size > LINKS:
+            join(held)
+            held, size = [], 0
+    if held:
+        join(held)
+    return label
 
 
 def _joiner(budget: int):
@@ -163,21 +177,11 @@ def _joiner(budget: int):
         used, key, fp = used[order], key[order], fp[order]
         new = np.concatenate([[True], (used[1:] != used[:-1]) | (key[1:] != key[:-1])])
         starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        sizes = np.diff(np.concatenate([starts, [len(fp)]]))
-        links = []
-        leaf = np.flatnonzero(sizes[group] <= LEAF)
-        for s in range(1, int(sizes[sizes <= LEAF].max(initial=1))):
-            i, j = leaf[:-s], leaf[s:]
-            near = (group[i] == group[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
-            links.append((i[near], j[near]))
-        label = _union(len(fp), iter(links))
+        ends = np.concatenate([starts[1:], [len(fp)]])
+        more = ends - starts > 1
+        label = _union(len(fp), trie_links(fp, starts[more], ends[more], budget))
         at = np.flatnonzero(label != np.arange(len(fp)))
-        out = [(fp[at], fp[label[at]])]
-        for g in np.flatnonzero(sizes > LEAF):
-            out.append(group_forest(fp[starts[g] : starts[g] + sizes[g]], budget))
-        child, root = (np.concatenate(x).view(np.int64) for x in zip(*out))
-        return pd.DataFrame({"a": child, "b": root})
+        return pd.DataFrame({"a": fp[at].view(np.int64), "b": fp[label[at]].view(np.int64)})
 
     return run
 

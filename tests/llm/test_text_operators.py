@@ -102,15 +102,46 @@ def test_chunk_encoder_is_exact():
 
 
 def test_nnls_uses_up_a_histogram():
-    k, a, rest = packing.combinations(32)
-    assert (k * a + rest == 32).all()
     h = np.zeros(32)
-    h[[10, 22, 8, 16]] = 50, 50, 80, 20
-    x = packing.nnls(k, a, rest, h)
-    used = np.bincount(a, k * x, 32) + np.bincount(rest, x, 32)
-    assert (x >= 0).all() and abs(used[1:] - h[1:]).max() < 0.5
-    plan = packing.Plan({10: 50, 22: 50, 8: 80, 16: 20}, {}, 32)
-    assert plan.stream_at[-1] < 32 * 3
+    h[[10, 22, 8, 16, 3, 9, 20]] = 50, 50, 80, 20, 30, 30, 30
+    combos = packing.combinations(32, np.flatnonzero(h))
+    assert (combos.sum(axis=1) == 32).all() and len({tuple(c) for c in combos}) == len(combos) and [0, 0, 3, 9, 20] in combos.tolist()
+    x = packing.nnls(combos, h)
+    used = sum(np.bincount(c, x, 32) for c in combos.T)
+    assert (x >= 0).all() and abs(used[1:] - h[1:]).max() < 1
+    plan = packing.Plan({n: int(h[n]) for n in np.flatnonzero(h).tolist()}, {}, 32)
+    assert plan.placed > 0.95
+
+
+def test_plan_places_most_remainders():
+    rng = np.random.default_rng(2)
+    n, c = np.unique(rng.geometric(1 / 600, 4000) % 2048, return_counts=True)
+    plan = packing.Plan(dict(zip(n.tolist(), c.tolist())), {}, 2048)
+    assert plan.placed > 0.8
+
+
+BIG = [2**60 + 1, None, 2**53 + 1, -(2**62) - 3, 7]
+
+
+def test_large_ids_beside_null_ids(spark):
+    df = spark.createDataFrame([(i, f"text number {i}", "a") for i in BIG], "doc_id long, text string, source string").coalesce(1)
+    lab = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    want = sorted(map(repr, BIG))
+    for out in (tokencount.count_tokens(df, BYTES), packing.pack(df, WORDS), quality.classify(df, lab), simhash.near_duplicates(df), mixing.taken(df), sharding.shard(df, 3)):
+        assert sorted({repr(r.doc_id) for r in out.select("doc_id").collect()}) == want
+
+
+def test_packing_of_wide_vocabularies(monkeypatch):
+    assert packing.id_type(65_536) == "<u2" and packing.id_type(65_537) == "<u4"
+    e = packing.ChunkEncoder(WORDS)
+    texts = ["the quick don't, X9 é", "", "a b"]
+    want = [e.full.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(packing, "id_type", lambda _: "<u4")
+    wide = packing.ChunkEncoder(WORDS)
+    assert [np.frombuffer(x, "<u4").tolist() for x in wide.encode(pa.array(texts), None)] == want
+    wide.ends[:] = True  # no word can be told from the next: each is encoded by itself
+    wide.known = {"": b""}
+    assert [np.frombuffer(x, "<u4").tolist() for x in wide.encode(pa.array(texts), None)] == want
 
 
 def brute_fingerprint(t):
@@ -166,13 +197,26 @@ def test_trie_links_survive_cuts(spark, group):
     assert (labels_of(found) == labels_of(np.bitwise_count(f[:, None] ^ f[None, :]) <= 3)).all()
 
 
-def test_trie_walk():
+def test_trie_walk(monkeypatch):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**62, 500).astype(np.uint64)
     f = np.unique(np.concatenate([base, base[:100] ^ np.uint64(5), base[:100] ^ np.uint64(1 << 40)]))
-    pairs = {(int(a), int(b)) for i, j in simhash.trie_forest(f, 3, leaf=4) for a, b in zip(i, j)}
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(np.bitwise_count(f[:, None] ^ f[None, :]) <= 3, 1)))}
-    assert pairs == want
+    assert len(want) > 200
+    for front in (16_384, 50):
+        monkeypatch.setattr(simhash, "FRONT", front)
+        walked = []
+        pairs = [(int(a), int(b)) for i, j in simhash.trie_links(f, np.array([0]), np.array([len(f)]), 3, walked=walked) for a, b in zip(i, j)]
+        assert set(pairs) == want and len(pairs) == len(want)
+        # The walk goes below the top and visits far fewer node pairs than there are pairs of fingerprints.
+        assert 1000 < sum(walked) < len(f) ** 2 / 8
+    # Groups go down side by side: 40 of 3 to 42 members.
+    ends = np.cumsum(np.arange(3, 43))
+    g = np.concatenate([np.sort(rng.choice(2**12, n, replace=False)).astype(np.uint64) for n in range(3, 43)])
+    of = np.repeat(np.arange(40), np.arange(3, 43))
+    near = (np.bitwise_count(g[:, None] ^ g[None, :]) <= 2) & (of[:, None] == of[None, :])
+    got = {(int(a), int(b)) for i, j in simhash.trie_links(g, np.concatenate([[0], ends[:-1]]), ends, 2) for a, b in zip(i, j)}
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)))}
 
 
 def brute_lines(rows):

@@ -51,19 +51,72 @@ def test_pivots(spark, vectors):
 def test_pivot_blocks(vectors, monkeypatch):
     rows, df = vectors
     want = sorted(map(tuple, pivots.near_duplicates(df).collect()))
-    monkeypatch.setattr(pivots, "BLOCK", 4)
+    monkeypatch.setattr(pivots, "BLOCK_BYTES", 4 * 16 * 8)
     assert sorted(map(tuple, pivots.near_duplicates(df).collect())) == want
 
 
-def test_pivot_recall(spark, small):
-    x = np.array([r.embedding for r in read_table(spark, small, "embeddings").collect()])
+@pytest.mark.parametrize("n_pivots", [256, 4096, 32_768])
+def test_recall_of_shared_pivots(n_pivots):
     rng = np.random.default_rng(0)
-    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.035])  # the small table has no pair as near as 0.95
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    named = pivots.nearest(x, x[rng.choice(len(x), 256, replace=False)], pivots.PREFIX)
-    i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
-    shared = (named[i][:, :, None] == named[j][:, None, :]).sum(axis=(1, 2)) >= pivots.SHARED
-    assert len(i) > 20 and shared.mean() >= 0.9
+    p, a, o = (pivots.unit(rng.normal(size=(n, 64))) for n in (n_pivots, 1000, 1000))
+    o = pivots.unit(o - (o * a).sum(axis=1, keepdims=True) * a)
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * o
+    x, y = (pivots.by_nearness(v @ p.T, pivots.prefix_of(n_pivots)) for v in (a, b))
+    assert ((x[:, :, None] == y[:, None, :]).sum(axis=(1, 2)) >= pivots.SHARED).mean() >= 0.97
+
+
+def test_pivots_far_from_pivots(spark, monkeypatch):
+    """Recall through the operator where few vectors are at home: a fit of four pivots for 900 vectors in 64 dimensions."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 64))
+    x[450:] = pivots.unit(x[:450]) + 0.3 * pivots.unit(rng.normal(size=(450, 64)))
+    u = pivots.unit(x)
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for block in (pivots.BLOCK_BYTES, 64 * 8 * 50):
+        monkeypatch.setattr(pivots, "BLOCK_BYTES", block)
+        got = [r.n_links for r in pivots.near_duplicates(df).orderBy("vec_id").collect()]
+        assert all(g <= w for g, w in zip(got, want)) and sum(got) >= 0.97 * want.sum() > 100
+
+
+def test_pivots_odd_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 5.0]
+    rows = [(None, a), (None, b), (2**60 + 1, a), (7, c), (7, c), (9, b), (9, c), (None, None), (3, [1e300, 1e300, 0.0]), (4, [2e300, 2e300, 0.0]), (None, [0.0, 1.0, 0.0])]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).collect()), key=repr)
+    want = [(None, 3, 9, False), (None, 3, 9, False), (2**60 + 1, 3, 9, False), (9, 3, 9, True), (7, 2, 7, True), (7, 2, 7, True), (9, 2, 7, False), (None, 0, None, True), (3, 1, 3, True), (4, 1, 3, False), (None, 0, None, True)]
+    assert got == sorted(want, key=repr)
+
+
+def planted(spark, path):
+    """A table of vectors with links, copies, chains and odd rows."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(200, 8))
+    chain = [base[0] + i * 0.25 * base[1] for i in range(8)]
+    rows = [*base, *(base[:60] + rng.normal(size=(60, 8)) * 0.1), *chain, *[base[5]] * 9]
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(rows)]
+    rows += [(1, rows[1][1], 0), (2, rows[9][1], 0), (900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] * 8, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.mode("overwrite").parquet(f"{path}/embeddings.parquet")
+
+
+@pytest.mark.parametrize("name", ["op1_pivots", "op2_topk"])
+def test_planted_links_against_sql(spark, tmp_path, name):
+    planted(spark, tmp_path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    cols = sorted(got.columns)
+    found = sorted(map(repr, (tuple(r) for r in got.select(*cols).collect())))
+    if name == "op1_pivots":
+        assert got.agg(F.sum("n_links")).first()[0] > 200
+    assert found == sorted(map(repr, con.sql(queries.ORACLE_SQL[name]).project(", ".join(cols)).fetchall()))
+
+
+def test_first_by_hash(spark):
+    df = spark.range(5000)
+    got = [r.id for r in common.first_by_hash(df, 5000, 100, "id").collect()]
+    assert len(set(got)) == 100 and sorted(got)[-1] > 3000
+    plan = common.first_by_hash(df, 5000, 100, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and common.first_by_hash(df, 10, 100, "id").count() == 100
 
 
 def test_pivots_in_a_large_group_of_near_copies(spark):
@@ -90,7 +143,8 @@ def test_pivots_fewer_than_shared(spark):
 @pytest.mark.parametrize("block", [65_536, 7])
 def test_topk(vectors, monkeypatch, block):
     rows, df = vectors
-    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", block * 16 * 8)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3 if block == 7 else 4096)
     ints = [(i, np.floor(np.array(v, float) * 1024).astype(int)) for i, v, *_ in rows if fine(v)]
     want = set()
     for q, x in ints:
