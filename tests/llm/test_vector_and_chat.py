@@ -222,6 +222,56 @@ def test_chat_layouts_read_every_message(spark):
     assert got == ["messages", "unknown", "unknown", "unknown", "unknown", "messages", "messages", "unknown", "prompt_completion"]
 
 
+def test_chat_layouts_with_extra_fields(spark):
+    pair = [("user", "q"), ("assistant", "a")]
+    a, b = {"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}
+    parts = {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "!", "n": 1}]}
+    cases = [
+        ("messages", {"messages": [a, b], "id": 3, "meta": {"tags": ["x"], "deep": [[{"y": 1}]]}}, pair),
+        ("messages", {"messages": [a | {"name": "n"}, b | {"weight": 0.5, "tools": []}]}, pair),
+        ("messages", {"messages": []}, []),
+        ("messages", {"messages": [a, parts]}, [("user", "q"), ("assistant", "a!")]),
+        ("messages", {"messages": [parts]}, [("assistant", "a!")]),
+        ("messages", {"messages": [{"role": "user", "content": []}, b]}, [("user", ""), ("assistant", "a")]),
+        ("messages_text", {"messages": [{"role": "user", "text": "q"}, {"role": "assistant", "text": "a", "at": 1}], "k": None}, pair),
+        ("conversations", {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "system": "s", "id": "7"}, pair),
+        ("prompt_completion", {"prompt": "q", "completion": "a", "source": "z"}, pair),
+        ("prompt_completion", {"prompt": [{"type": "text", "text": "q"}], "completion": "a"}, pair),
+        ("prompt_response", {"prompt": "q", "response": "a", "score": 1.5}, pair),
+        ("system_prompt_response", {"system": "s", "prompt": "q", "response": "a", "a b": {"c.d": 1}}, [("system", "s"), *pair]),
+        ("instruction", {"instruction": "q", "output": "a", "x`y": [1, "z"]}, pair),
+        ("instruction_input", {"instruction": "q", "input": "", "output": "a", "lang": "en"}, [("user", "q"), ("user", ""), ("assistant", "a")]),
+        ("question_answer", {"question": "q", "answer": True, "extra": {"question": "no"}}, [("user", "q"), ("assistant", "true")]),
+        ("data_prompt", {"data": {"prompt": "q", "completion": "a", "n": 2}, "v": 1}, pair),
+        ("unknown", {"data": {"data": {"prompt": "q", "completion": "a"}}}, None),
+        ("unknown", {"messages": [a, {"role": "assistant", "content": [{"type": "image", "url": "u"}]}]}, None),
+        ("unknown", {"messages": ["a", "b"]}, None),
+        ("unknown", {"prompt": {"x": 1}, "completion": "a"}, None),
+        ("unknown", [a, b], None),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r), 1, 2, "old") for i, (_, r, _) in enumerate(cases)], "i long, record string, layout int, fingerprint int, turns string")
+    got = sorted(chat.from_records(df, "record").select("i", "layout", "turns", "fingerprint").collect())
+    assert [(r.layout, r.turns and [(t.role, t.text) for t in r.turns]) if r.turns is None or r.turns else (r.layout, []) for r in got] == [(n, t) for n, _, t in cases]
+    assert len({r.fingerprint for r in got}) >= 18
+    assert chat.from_records(df.limit(0), "record").count() == 0
+
+
+def test_chat_layouts_of_nested_columns(spark):
+    kind = "k int, r struct<id:int,turns:array<struct<turn:int,role:string,text:string>>>"
+    df = spark.createDataFrame([(1, (5, [(0, "human", "x" * 1000), (1, None, None)])), (2, (5, [])), (3, (5, None)), (4, None), (5, (None, [None]))], kind)
+    got = {r.k: (r.layout, r.turns and [(t.role, t.text[:2]) for t in r.turns]) for r in chat.from_records(df, "r").collect()}
+    assert got == {1: ("turn_rows", [("human", "xx"), ("", "")]), 2: ("turn_rows", []), 3: ("unknown", None), 4: ("unknown", None), 5: ("unknown", None)}
+    pairs = spark.createDataFrame([(("q", "a", 3),)], "r struct<prompt:string,response:string,n:int>")
+    assert [(r.layout, [t.text for t in r.turns]) for r in chat.from_records(pairs, "r").collect()] == [("prompt_response", ["q", "a"])]
+
+
+def test_chat_query_goes_through_the_fingerprints(spark, small, monkeypatch):
+    assert {r.layout for r in queries.QUERIES["op5_chat"](spark, small).select("layout").distinct().collect()} == {"turn_rows"}
+    plan = queries.QUERIES["op5_chat"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "schema_of_variant" in plan.lower() or "schemaofvariant" in plan.lower()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_chat_digest(spark, small):
     r = {x.conv_id: x for x in queries.QUERIES["op5_chat"](spark, small).collect()}[-1]
     t = chat.EXTRA_TEXT
