@@ -9,6 +9,8 @@ from corpusloom.session import staged, unstage
 
 #: Rows that one window partition of a rank or prefix sum holds on average.
 ROWS_PER_BUCKET = 1024
+#: Bucket sums of one key that a task adds up.
+ROWS_PER_TASK = 1 << 17
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, n_rows: int, name: str) -> DataFrame:
@@ -17,14 +19,18 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: Column, n_r
     With value 1 this is a gapless rank from 0. The order is by the hash of
     the `order` columns, then by these; it is total up to equal rows. Rows of
     one key are spread over hashed buckets, so that no task holds a whole hot
-    key: bucket sums are added up first, then rows within each bucket.
+    key: bucket sums are added up first, then rows within each bucket. Where the
+    buckets of a key are too many for a task, their sums go the same way.
     """
     buckets = max(1, -(-n_rows // ROWS_PER_BUCKET))
     b, v, base = f"__{name}_b", f"__{name}_v", f"__{name}_base"
     df = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets))).withColumn(v, value.cast("long"))
     sums = df.groupBy(*keys, b).agg(F.sum(v).alias(base))
-    before = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
+    if buckets > ROWS_PER_TASK:
+        sums = running(sums, keys, [b], F.col(base), buckets, f"{name}_up").drop(base).withColumnRenamed(f"{name}_up", base)
+    else:
+        before = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
     inside = Window.partitionBy(*[F.col(k) for k in keys], F.col(b)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn(name, F.coalesce(F.sum(v).over(inside), F.lit(0)))
     renamed = sums.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(b).alias("__kb"), base)

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from corpusloom.llm import linededup, mixing, packing, quality, sharding, simhash, tokencount
 from corpusloom.llm.tokencount import public_path
+from corpusloom.session import read_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, slot long, h long, th long, size long, fp long, n long, ids string"
 BYTES, WORDS = public_path("byte_bpe_50k.json"), public_path("word_bpe_49k.json")
@@ -234,31 +235,55 @@ def brute_lines(rows):
     return place, group, first
 
 
-def test_line_dedup(spark, empty):
+def line_case():
     rng = random.Random(9)
     base = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30)) for _ in range(12)]
     near = [b[:100] + "zz" + b[102:] for b in base[:6]] + [b + " tail" for b in base[3:9]]
     texts = ["\n".join(rng.sample(base + near + ["short", "ab", "  ", ""], rng.randint(1, 6))) for _ in range(40)] + [None, "", "\n\n", base[0], base[0]]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, base[1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lid", F.lit(1)).withColumn("h", F.lit(2)).withColumn("line", F.lit("x"))
-    place, group, first = brute_lines(rows)
-    dropped = {(r.doc_id, r.line_no) for r in linededup.dropped_lines(df).collect()}
-    by_group = defaultdict(set)
+    return [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (0, texts[0]), (5, "ab\n  \nonly here"), (5, "ab\n  \nonly here"), (None, base[1]), (None, None), (None, None)]
+
+
+def lines_kept(rows):
+    """Per row the numbers of the lines it loses, by brute force; of equal rows the first keeps what is kept."""
+    place, group, _ = brute_lines(rows)
+    best = {}
     for doc, text, i, line in place:
-        by_group[group[line]].add((doc, i))
-    for members in by_group.values():
-        kept = members - dropped
-        assert len(kept) == 1 and kept == {min(members, key=lambda m: (m[0] is not None, m[0] or 0, m[1]))}
-    out = {(r.doc_id, r.text) for r in linededup.dedup_lines(df).collect()}
-    assert (40, None) in out and (41, "") in out and (42, "\n\n") in out and (43, "") in out
+        k = (doc is not None, doc or 0, i)
+        best[group[line]] = min(best.get(group[line], (k, doc, text, i)), (k, doc, text, i), key=lambda x: x[0])
+    out, seen = [], set()
+    for doc, text in rows:
+        again = text is not None and (doc, text) in seen
+        seen.add((doc, text))
+        lost = [i for d, t, i, line in place if (d, t) == (doc, text) and (again or best[group[line]][1:] != (doc, text, i))]
+        out.append((doc, len(text.split("\n")) if text is not None else 0, lost))
+    return out
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_line_dedup(spark, empty, tmp_path, monkeypatch, weak):
+    if weak:  # a third of all lines share a hash with another
+        monkeypatch.setattr(linededup, "line_hash", lambda c: F.pmod(F.xxhash64(c), F.lit(40)))
+    rows = line_case()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lid", F.lit(1)).withColumn("h", F.lit(2)).withColumn("line", F.lit("x")).withColumn("dropped_lines", F.lit("old"))
+    want = lines_kept(rows)
+    got = linededup.dedup_lines(df).collect()
+    assert Counter((r.doc_id, tuple(r.dropped_lines)) for r in got) == Counter((d, tuple(lost)) for d, _, lost in want)
+    left = lambda t, lost: t if t is None or not lost else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in lost)
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], left(r[1], w[2])) for r, w in zip(rows, want))
+    assert len(got[0]) == 6 and {r.h for r in got} == {2}
+    df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    told = linededup.op9_lines(spark, str(tmp_path)).collect()
+    assert Counter(map(tuple, told)) == Counter((d, n, len(lost), ",".join(map(str, lost))) for d, n, lost in want)
     assert linededup.dropped_lines(empty).count() == 0 and linededup.dedup_lines(empty).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("corpusloom")]
 
 
 def test_line_signatures():
     lines = ["ab", "", "abcdefgh", "x" * 40, "the quick brown fox jumps over the lazy dog"]
     one = linededup.signatures(lines)
     assert (one[2] == linededup.signatures(["abcdefgh"])[0]).all() and len({r.tobytes() for r in one}) == 5
-    j = linededup.jaccard(["abcdefghij", "abcdefghijk", "zzzzzzzzzz"])
+    three = ["abcdefghij", "abcdefghijk", "zzzzzzzzzz"]
+    j = linededup.jaccard(three, three)
     assert abs(j[0, 1] - 3 / 4) < 1e-6 and j[0, 2] == 0 and j[2, 2] == 1
     rng = random.Random(3)
     some = ["".join(rng.choices("abé", k=rng.randint(0, 40))) for _ in range(30)] + ["ab\0", "ab", "", "abababababab"]
@@ -266,16 +291,31 @@ def test_line_signatures():
         block = some + more
         sets = [linededup.shingles(x) for x in block]
         want = np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
-        assert np.abs(linededup.jaccard(block) - want).max() < 1e-6
+        assert np.abs(linededup.jaccard(block, block[5:]) - want[:, 5:]).max() < 1e-6
         assert all(abs(linededup.similarity(x, y) - want[i, k]) < 1e-12 for i, x in enumerate(block) for k, y in enumerate(block))
 
 
-def test_long_runs_are_compared_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_long_runs_are_compared_in_blocks(spark, monkeypatch, batch):
+    """Runs over many batches, with lines unlike the one they hang on: chains that only their neighbours link."""
     monkeypatch.setattr(linededup, "BLOCK", 3)
-    base = "".join(random.Random(2).choices("abcdefgh ", k=200))
+    monkeypatch.setattr(linededup, "SPREAD", 2)
+    rng = random.Random(2)
+    base = "".join(rng.choices("abcdefgh ", k=200))
     lines = [base[:i] + "#" + base[i + 1 :] for i in range(20, 180, 16)]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    assert linededup.dropped_lines(df).count() == len(lines) - 1
+    chain = ["".join(rng.choices("abcdefgh ", k=200))]
+    for i in range(12):  # each step changes a sixteenth: neighbours link, ends do not
+        at = 12 * i
+        chain.append(chain[-1][:at] + "".join(rng.choices("stuvwxyz", k=12)) + chain[-1][at + 12 :])
+    sets = [linededup.shingles(x) for x in lines + chain]
+    lab = labels_of(np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]))
+    assert len(set(lab)) == 2
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(lines + chain)], "doc_id long, text string").repartition(2)
+        assert linededup.dropped_lines(df).count() == len(sets) - 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_mixing(cases, empty):
@@ -376,6 +416,22 @@ def test_capacity_search():
         assert len(ends) == n and ends[-1] == len(sizes) and max(sum(sizes[a:b]) for a, b in zip([0, *ends], ends)) == cap
 
 
+def test_distributed_cut_has_the_least_capacity(spark, small):
+    """Cuts by hash prefixes against the smallest capacity of the real, ordered group sizes."""
+    docs = read_table(spark, small, "documents")
+    groups = docs.select(F.xxhash64("text").alias("h"), (F.octet_length("text") + 8).cast("long").alias("size"))
+    sizes = [r.s for r in sorted(groups.groupBy("h").agg(F.sum("size").alias("s")).collect(), key=lambda r: r.h % 2**64)]
+    assert len(sizes) > 100
+    for n in (3, 24):
+        got = sharding.shard(docs, n).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+        loads = sorted((r.b for r in got), reverse=True)
+        # Groups over an even share have a shard alone; the others fill theirs up to the least capacity.
+        if max(sizes) * n < sum(sizes):
+            assert loads[0] == brute_capacity(sizes, n)
+        else:
+            assert loads[0] == max(sizes)
+
+
 @pytest.mark.parametrize("n", [1, 4, 24])
 def test_sharding(cases, empty, n):
     rows, df = cases
