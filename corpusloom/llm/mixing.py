@@ -115,7 +115,9 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     over = running(over.withColumn("one", F.lit(0)), ["one"], ["shard", "sid"], F.col("over"), n, "e0")
     over = over.select("shard", F.explode(F.sequence(F.col("e0"), F.col("e0") + F.col("over") - 1)).alias("e"))
     dealt = over.join(lack.hint("merge"), "e").select("shard", "sid", "k")
-    own = first.where("kept > 0").select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("kept") - 1)).alias("k"))
+    # Few rows become many here, so they are dealt over all tasks first.
+    width = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = first.where("kept > 0").repartition(width, "shard").select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("kept") - 1)).alias("k"))
     k = own.unionByName(dealt).join(small(needed), "sid")
     in_whole, pass_no = F.col("k") < F.col("whole_slots"), F.floor(F.col("k") / F.col("n_blocks"))
     i = F.when(in_whole, F.pmod(F.col("k"), F.col("n_blocks"))).otherwise(F.col("k") - F.col("whole_slots"))
