@@ -42,7 +42,7 @@ from corpusloom.session import read_table, shared_dir, ship, staged
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 3
 #: Lines of one run that one task compares with others at once; rows of a hot run that one join task gets.
-BLOCK, SPREAD = 2048, 4096
+BLOCK, SPREAD = 512, 1024
 NO_VALUE = np.iinfo(np.uint64).max
 
 
@@ -224,6 +224,10 @@ def jaccard(lines: list[str], others: list[str], k: int = SHINGLE) -> np.ndarray
     return both / (sizes[:n, None] + sizes[None, n:] - both)
 
 
+#: What a line is in a pair of blocks: one of all, an open one, or both.
+MEMBER, OPEN, BOTH = 0, 1, 2
+
+
 def _block_verifier(threshold: float):
     """Per bucket of runs' block pairs: a spanning forest of the links of open lines to lines of their run."""
 
@@ -245,11 +249,14 @@ def _block_verifier(threshold: float):
         return out
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, side, lids, lines = rows[["run", "ub", "mb"]].to_numpy(), rows["side"].to_numpy(), rows["lid"].to_numpy(), rows["line"].to_numpy()
+        order = np.lexsort(keys.T)
+        cuts = np.flatnonzero((keys[order][1:] != keys[order][:-1]).any(axis=1)) + 1
         out = []
-        for _, g in rows.groupby(["run", "ub", "mb"], sort=False):
-            u, m = g[g["open"]], g[~g["open"]]
+        for g in np.split(order, cuts):
+            u, m = g[side[g] != MEMBER], g[side[g] != OPEN]
             if len(u) and len(m):
-                out += forest(u["lid"].to_numpy(), u["line"].tolist(), m["lid"].to_numpy(), m["line"].tolist())
+                out += forest(lids[u], lines[u].tolist(), lids[m], lines[m].tolist())
         return pd.DataFrame(out, columns=["b", "a"], dtype="int64")
 
     return run
@@ -296,8 +303,11 @@ def line_links(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = members.join(open_.withColumn("open", F.lit(True)), ["run", "b"], "left").select("run", F.col("b").alias("lid"), F.col("open").isNotNull().alias("is_open"), F.ceil(F.col("n") / BLOCK).cast("int").alias("mbs"), F.ceil(F.col("u") / BLOCK).cast("int").alias("ubs"))
     members = members.join(texts, "lid")
     at = F.xxhash64(F.lit(3), "lid")
-    every = members.select("run", "lid", "line", F.lit(False).alias("open"), F.explode(F.sequence(F.lit(0), F.col("ubs") - 1)).alias("ub"), F.pmod(at, F.col("mbs")).cast("int").alias("mb"))
-    some = members.where("is_open").select("run", "lid", "line", F.lit(True).alias("open"), F.pmod(at, F.col("ubs")).cast("int").alias("ub"), F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)).alias("mb"))
+    # Of a run that is one block each line goes once, of others the open lines go to the members' blocks as well.
+    one = (F.col("ubs") == 1) & (F.col("mbs") == 1)
+    side = F.when(one & F.col("is_open"), BOTH).otherwise(MEMBER)
+    every = members.select("run", "lid", "line", side.alias("side"), F.explode(F.sequence(F.lit(0), F.col("ubs") - 1)).alias("ub"), F.pmod(at, F.col("mbs")).cast("int").alias("mb"))
+    some = members.where(F.col("is_open") & ~one).select("run", "lid", "line", F.lit(OPEN).alias("side"), F.pmod(at, F.col("ubs")).cast("int").alias("ub"), F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)).alias("mb"))
     bucket = F.pmod(F.xxhash64("run", "ub", "mb"), F.lit(2 * n_buckets))
     rest = every.unionByName(some).groupBy(bucket).applyInPandas(_block_verifier(threshold), "b long, a long").where("a <> b")
     return links.unionByName(rest)
