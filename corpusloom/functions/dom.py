@@ -12,6 +12,8 @@ import re
 from collections.abc import Callable, Iterator
 from html import unescape
 
+from corpusloom.functions.js import units
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param keygen frame basefont bgsound".split())
 RAW = frozenset(("script", "style", "xmp", "iframe", "noembed", "noframes"))
 TEXT_ONLY = frozenset(("title", "textarea"))
@@ -151,6 +153,29 @@ class Element(Node):
         return next((e for e in self.walk() if test(e)), None)
 
 
+def measured(root: Element) -> dict[int, tuple[str, int]]:
+    """By id of each element below root: its text, and the length of the markup inside it in UTF-16 units.
+
+    One walk from the leaves up: an element's text and length come from its children's.
+    """
+    out: dict[int, tuple[str, int]] = {}
+    for e in reversed(list(root.walk())):
+        texts, size = [], 0
+        for c in e.children:
+            if isinstance(c, Element):
+                text, inside = out[id(c)]
+                texts.append(text)
+                size += len(c.tag) + 2 + sum(len(k) + 4 + units(_value(v)) for k, v in c.attrs.items())
+                size += inside + len(c.tag) + 3 if c.tag not in VOID else 0
+            elif isinstance(c, Text):
+                texts.append(c.data)
+                size += units(c.data if e.tag in RAW else _text(c.data))
+            else:
+                size += units(c.data) + 7
+        out[id(e)] = ("".join(texts), size)
+    return out
+
+
 class Document(Element):
     def __init__(self) -> None:
         super().__init__("#document")
@@ -532,6 +557,10 @@ _TOKEN = re.compile(
 )
 
 
+#: A selector of tags alone.
+_TAGS = re.compile(r"[a-zA-Z][a-zA-Z0-9]*(?:\s*,\s*[a-zA-Z][a-zA-Z0-9]*)*")
+
+
 def compiled(selector: str) -> Test:
     test = _COMPILED.get(selector)
     if test is None:
@@ -610,6 +639,9 @@ def _selector(source: str) -> Test:
     s = source.strip()
     if not s:
         raise SelectorError(source)
+    if _TAGS.fullmatch(s):
+        tags = frozenset(t.strip().lower() for t in s.split(","))
+        return lambda e: e.tag in tags
     groups: list[list[tuple[str, list[Test]]]] = [[(" ", [])]]
     i = 0
     while i < len(s):
@@ -654,4 +686,11 @@ def _selector(source: str) -> Test:
         at = _place(e, kids)
         return (at > 0 and fits(kids[at - 1], g, k - 1)) if comb == "+" else any(fits(x, g, k - 1) for x in kids[:at])
 
-    return lambda e: any(fits(e, g, len(g) - 1) for g in groups)
+    def of(g: list[tuple[str, list[Test]]]) -> Test:
+        if len(g) > 1:
+            return lambda e: fits(e, g, len(g) - 1)
+        tests = g[0][1]
+        return tests[0] if len(tests) == 1 else lambda e: all(t(e) for t in tests)
+
+    each = [of(g) for g in groups]
+    return each[0] if len(each) == 1 else lambda e: any(t(e) for t in each)

@@ -7,7 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
-from corpusloom.functions.dom import Document, Element
+from corpusloom.functions.dom import Document, Element, measured
 from corpusloom.functions.js import collapse, cut, trim, units, words
 
 #: Fixed values of the pruning score.
@@ -27,15 +27,28 @@ BOOSTS = {"h1": 5.0, "h2": 4.0, "h3": 3.0, "title": 4.0, "strong": 2.0, "b": 1.5
 CHUNK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption", "section", "article")
 
 
-def _sizes(e: Element) -> tuple[int, int, int]:
-    """Lengths of the text, of the markup inside, and of the text of plain direct links."""
-    links = sum(units(trim(c.text)) for c in e.elements if c.tag == "a" and not c.elements)
-    return units(trim(e.text)), units(e.inner_html), links
+Sizes = dict[int, tuple[str, int]]
 
 
-def composite_score(e: Element, min_words: int | None = None) -> float:
-    text, markup, links = _sizes(e)
-    if min_words and len(words(trim(e.text))) < min_words:
+def _sizes(e: Element, sizes: Sizes | None = None) -> tuple[str, int, int, int]:
+    """The text, its length, the length of the markup inside, and that of the text of plain direct links."""
+    sizes = sizes if sizes is not None and id(e) in sizes else measured_with(e)
+    text, markup = sizes[id(e)]
+    links = sum(units(trim(sizes[id(c)][0])) for c in e.elements if c.tag == "a" and not c.elements)
+    text = trim(text)
+    return text, units(text), markup, links
+
+
+def measured_with(e: Element) -> Sizes:
+    """What `measured` says of an element and all below it."""
+    box = Element("div")
+    box.children = [e]
+    return measured(box)
+
+
+def composite_score(e: Element, min_words: int | None = None, sizes: Sizes | None = None) -> float:
+    told, text, markup, links = _sizes(e, sizes)
+    if min_words and len(words(told)) < min_words:
         return -1.0
     score = (
         DENSITY * (text / markup if markup else 0)
@@ -47,10 +60,10 @@ def composite_score(e: Element, min_words: int | None = None) -> float:
     return score / (DENSITY + LINKS + TAG + CLASS + LENGTH)
 
 
-def score_limit(e: Element, threshold: float, kind: str) -> float:
+def score_limit(e: Element, threshold: float, kind: str, sizes: Sizes | None = None) -> float:
     if kind == "fixed":
         return threshold
-    text, markup, links = _sizes(e)
+    _, text, markup, links = _sizes(e, sizes)
     for applies, factor in (
         (TAG_IMPORTANCE.get(e.tag, IMPORTANCE) > 1, 0.8),
         ((text / markup if markup else 0) > 0.4, 0.9),
@@ -65,12 +78,14 @@ def pruning(doc: Document, threshold: float = 0.48, threshold_type: str = "fixed
     body = doc.body or doc.root
     for e in body.select(", ".join(PRUNED_TAGS)):
         e.remove()
+    # An element is judged before anything inside it goes, so one measure at the start serves all.
+    sizes = measured(body)
     todo = list(body.elements)
     while todo:
         e = todo.pop()
         if e.tag in preserve_tags or set((e.get("class") or "").split()) & set(preserve_classes):
             continue
-        if composite_score(e, min_word_threshold) < score_limit(e, threshold, threshold_type):
+        if composite_score(e, min_word_threshold, sizes) < score_limit(e, threshold, threshold_type, sizes):
             e.remove()
         else:
             todo += e.elements

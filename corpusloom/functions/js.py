@@ -7,13 +7,13 @@ import re
 #: White space as web pages' scripts see it; fixed values of the language.
 WS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _RUN = re.compile(f"[{WS}]+")
-_EDGES = re.compile(f"^[{WS}]+|[{WS}]+\\Z")
+_EDGES = "".join(chr(c) for c in range(0x3001) if _RUN.fullmatch(chr(c))) + "\ufeff"
 #: The same class for Spark's and DuckDB's regular expressions.
 WS_CLASS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def trim(s: str | None) -> str:
-    return _EDGES.sub("", s) if s else ""
+    return s.strip(_EDGES) if s else ""
 
 
 def collapse(s: str) -> str:

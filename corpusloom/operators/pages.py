@@ -5,16 +5,18 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusloom.functions.dom import parse
 from corpusloom.functions.extract import extract
 from corpusloom.functions.filters import FILTERS, apply_filter, chunks
 from corpusloom.functions.js import words
 from corpusloom.functions.markdown import variants
-from corpusloom.functions.scrape import ScrapeOptions, remove_overlays, scrape
+from corpusloom.functions.scrape import PARTS, ScrapeOptions, remove_overlays, scrape
 from corpusloom.session import ship
 
 LINK = "struct<href:string,text:string,title:string,base_domain:string>"
@@ -45,7 +47,8 @@ def process_html(html: str, url: str, outputs: tuple[str, ...] = ALL, content_fi
             out["extracted"] = json.dumps(extract(doc, schema), ensure_ascii=False)
         except Exception as e:
             out["extracted"] = json.dumps({"error": str(e)}, ensure_ascii=False)
-    out |= scrape(doc, url, scrape_options)
+    parts = tuple(p for p in PARTS if p in outputs or (p == "cleaned_html" and wants_text))
+    out |= scrape(doc, url, scrape_options, parts) if parts else {}
     if wants_text:
         out["markdown"] = variants(out["cleaned_html"], url, fit, citations)
         out["word_count"] = len(words(out["markdown"]["raw_markdown"]))
@@ -59,21 +62,22 @@ def process(pages: DataFrame, outputs: tuple[str, ...] = ALL, url_col: str = "ur
     ship(pages.sparkSession)
     schema = ", ".join([*(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keep), "url string", "success boolean", "error string", *(f"{k} {FIELDS[k]}" for k in outputs)])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for html, url in zip(f["__html"], f["__url"]):
+            for html, url in zip(b.column("__html").to_pylist(), b.column("__url").to_pylist()):
                 try:
                     rows.append({"url": url, "success": True, "error": None, **process_html(html, url or "", outputs, **options)})
                 except Exception as e:
                     rows.append({"url": url, "success": False, "error": str(e), **dict.fromkeys(outputs)})
-            made = pd.DataFrame(rows, columns=["url", "success", "error", *outputs], dtype=object)
-            for k in keep:
-                made[k] = f[k].array
-            yield made[[*keep, "url", "success", "error", *outputs]]
+            # Kept columns stay in Arrow as they are.
+            made = [pa.array([r[f.name] for r in rows], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *made], names=[*keep, *(f.name for f in arrow)])
 
     chosen = pages.select(*keep, F.col(url_col).alias("__url"), F.col(html_col).alias("__html"))
-    return chosen.mapInPandas(run, schema)
+    own = ", ".join(["url string", "success boolean", "error string", *(f"{k} {FIELDS[k]}" for k in outputs)])
+    arrow = to_arrow_schema(StructType.fromDDL(own))
+    return chosen.mapInArrow(run, schema)
 
 
 def links(pages: DataFrame, keep: tuple[str, ...] = (), include_external: bool = True, **options) -> DataFrame:
@@ -103,15 +107,18 @@ def page_chunks(pages: DataFrame, keep: tuple[str, ...] = (), url_col: str = "ur
     ship(pages.sparkSession)
     schema = ", ".join([*(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keep), "url string", "chunk_no int", "tag string", "text string", "html string"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for i in range(len(f)):
-                for n, (e, text) in enumerate(chunks(parse(f["__html"].iat[i] or ""))):
-                    rows.append((*(f[k].iat[i] for k in keep), f["__url"].iat[i], n, e.tag, text, e.outer_html))
-            yield pd.DataFrame(rows, columns=[*keep, "url", "chunk_no", "tag", "text", "html"])
-
-    return pages.select(*keep, F.col(url_col).alias("__url"), F.col(html_col).alias("__html")).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, html in enumerate(b.column("__html").to_pylist()):
+                for n, (e, text) in enumerate(chunks(parse(html or ""))):
+                    at.append(i)
+                    rows.append((n, e.tag, text, e.outer_html))
+            at = pa.array(at, pa.int64())
+            made = [pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.string()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in (*keep, "__url")), *made], names=[*keep, "url", "chunk_no", "tag", "text", "html"])
+
+    return pages.select(*keep, F.col(url_col).alias("__url"), F.col(html_col).alias("__html")).mapInArrow(run, schema)
 
 
 def rendered_or_raw(pages: DataFrame, rendered_col: str = "rendered_html", html_col: str = "html") -> DataFrame:
