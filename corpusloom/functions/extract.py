@@ -7,6 +7,7 @@ Python function that the caller put there.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
@@ -141,3 +142,17 @@ def problems(schema: Any) -> list[str]:
     check(schema.get("fields"), "fields")
     check(schema.get("baseFields"), "baseFields")
     return out
+
+
+def schema_from_text(text: str | None) -> dict | None:
+    """A schema from JSON text; None for blank text, ValueError with all that is wrong otherwise."""
+    if not (text or "").strip():
+        return None
+    try:
+        schema = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ValueError(f"the schema is not JSON: {e}") from e
+    wrong = problems(schema)
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return schema

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +12,15 @@ from corpusloom.functions.urls import normalize
 from corpusloom.operators import pages as P
 from corpusloom.plans.config import CrawlConfig
 from corpusloom.plans.traverse import traverse
-from corpusloom.session import staged
+from corpusloom.session import staged, unstage
+from corpusloom.sources.sitemap import plan_seeds
 
 
 class Crawler:
-    """spark, pages (url, html and optional status_code): crawl() gives stored results."""
+    """spark, pages (url, html and optional status_code), optional sitemaps (url, body): crawl() gives stored results."""
 
-    def __init__(self, spark: SparkSession, pages: DataFrame):
-        self.spark, self.pages = spark, pages
+    def __init__(self, spark: SparkSession, pages: DataFrame, sitemaps: DataFrame | None = None):
+        self.spark, self.pages, self.sitemaps = spark, pages, sitemaps
         self._edges: DataFrame | None = None
 
     def edges(self) -> DataFrame:
@@ -41,6 +43,58 @@ class Crawler:
         return stored_results(visits.join(done, "url", "left"))
 
 
+    def seeded(self, url: str, sitemap_url: str | None = None, sitemap_match: str | None = None, **settings) -> CrawlConfig:
+        """Settings of a crawl that starts from what the site's sitemap lists."""
+        seeds = plan_seeds(self.spark, url, self.sitemaps, True, sitemap_url, sitemap_match, settings.get("max_pages"))
+        return CrawlConfig(tuple(seeds), **settings)
+
+    def start(self, config: CrawlConfig, checkpoint: str | None = None) -> CrawlJob:
+        """Crawl in the background."""
+        return CrawlJob(self, config, checkpoint)
+
+
+class CrawlJob:
+    """A crawl that runs in a thread of the driver: status, cancel, wait, results, clear."""
+
+    def __init__(self, crawler: Crawler, config: CrawlConfig, checkpoint: str | None = None):
+        self._cancelled, self._error, self._results = threading.Event(), None, None
+        self._progress: dict = {"pages_crawled": 0, "queued": len(config.start_urls), "depth": 0}
+
+        def run() -> None:
+            try:
+                found = crawler.crawl(config, on_progress=self._progress.update, should_cancel=self._cancelled.is_set, checkpoint=checkpoint)
+                self._results = staged(found, "results")
+            except Exception as e:  # kept for wait() and status()
+                self._error = e
+
+        self._thread = threading.Thread(target=run, daemon=True)
+        self._thread.start()
+
+    def status(self) -> dict:
+        """state (running, done, cancelled, failed), error, and how far the crawl is."""
+        state = "running" if self._thread.is_alive() else "failed" if self._error else "cancelled" if self._cancelled.is_set() else "done"
+        return {"state": state, "error": str(self._error) if self._error else None, **self._progress}
+
+    def cancel(self) -> None:
+        """Stop after the level or step that is under way; what was crawled stays."""
+        self._cancelled.set()
+
+    def wait(self, timeout: float | None = None) -> DataFrame:
+        """The stored results, also of a crawl that was cancelled."""
+        self._thread.join(timeout)
+        if self._thread.is_alive():
+            raise TimeoutError("the crawl still runs")
+        if self._error:
+            raise self._error
+        return self._results
+
+    def clear(self) -> None:
+        """Drop the results and their files."""
+        self.wait()
+        unstage(self._results)
+        self._results = self._results.sparkSession.createDataFrame([], self._results.schema)
+
+
 def stored_results(results: DataFrame) -> DataFrame:
     """The 17 columns that are kept, with defaults for what is missing."""
     has = set(results.columns)
@@ -95,7 +149,7 @@ def write_json(results: DataFrame, path: str) -> None:
     results.write.json(path)
 
 
-def pretty_json(results: DataFrame, limit: int = 1000) -> str:
+def pretty_json(results: DataFrame, limit: int) -> str:
     """The first `limit` results in order of visit as one indented array; for looking at, not for bulk."""
     rows = results.orderBy("visit").limit(limit).select(F.to_json(F.struct("*")).alias("j")).collect()
     return json.dumps([json.loads(r["j"]) for r in rows], indent=2, ensure_ascii=False)

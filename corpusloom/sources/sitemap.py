@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.urls import origin_col, parse, path_col
+from corpusloom.session import staged
 
 MAX_INDEX_DEPTH = 3
 LOC = r"(?i)<loc>\s*([^<\s]+)\s*</loc>"
@@ -43,21 +44,25 @@ def _locs(body: Column) -> Column:
     return F.when(body.rlike(r"(?i)<urlset|<sitemapindex|<loc"), xml).otherwise(plain)
 
 
-def sitemap_urls(sitemaps: DataFrame, roots: DataFrame, match: str | None = None, limit: int | None = None) -> DataFrame:
+def sitemap_urls(sitemaps: DataFrame, roots: DataFrame, match: str | None = None, limit: int | None = None, strict: bool = False) -> DataFrame:
     """Rows (root, ordinal, url): each root's page addresses in the order found, each once.
 
     sitemaps: (url, body). roots: (url). Index files are followed up to
     MAX_INDEX_DEPTH deep, to children of the same origin only; children that
-    are missing are passed over.
+    are missing are passed over, and so are roots unless `strict` raises.
     """
     bodies = sitemaps.select(F.col("url").alias("at"), "body")
+    if strict:
+        lost = roots.join(bodies, roots["url"] == bodies["at"], "left_anti").select(roots["url"]).first()
+        if lost:
+            raise ValueError(f"no such sitemap: {lost['url']}")
     level = roots.select(F.col("url").alias("root"), F.col("url").alias("at"), F.array().cast("array<int>").alias("order"))
     pages = None
     for depth in range(MAX_INDEX_DEPTH + 1):
         got = level.join(bodies, "at")
         index = F.col("body").rlike(IS_INDEX)
         found = got.select("root", "at", index.alias("is_index"), "order", F.posexplode(_locs(F.col("body"))).alias("i", "url"))
-        found = found.withColumn("order", F.concat("order", F.array("i")))
+        found = staged(found.withColumn("order", F.concat("order", F.array("i"))), "sitemap")
         here = found.where(~F.col("is_index") & F.lower("url").rlike("^https?://")).select("root", "order", "url")
         pages = here if pages is None else pages.unionByName(here)
         level = found.where(F.col("is_index") & same_origin(F.col("url"), F.col("at"))).select("root", F.col("url").alias("at"), "order")
@@ -111,7 +116,7 @@ def plan_seeds(spark: SparkSession, url: str, sitemaps: DataFrame | None = None,
         match = f"/{re.escape(first)}/" if first else None
     limit = 50 if max_pages is None else max_pages
     roots = spark.createDataFrame([(at,)], "url string")
-    seeds = [r["url"] for r in sitemap_urls(sitemaps, roots, match, limit).orderBy("ordinal").collect()]
+    seeds = [r["url"] for r in sitemap_urls(sitemaps, roots, match, limit, strict=True).orderBy("ordinal").collect()]
     if not seeds and match and not sitemap_match:
         seeds = [r["url"] for r in sitemap_urls(sitemaps, roots, None, limit).orderBy("ordinal").collect()]
     if not seeds:

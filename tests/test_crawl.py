@@ -4,7 +4,7 @@ import pytest
 
 from corpusloom.plans.config import CrawlConfig, keyword_list
 from corpusloom.plans.crawl import Crawler, link_view, media_view, pretty_json, sorted_by, stats, write_json, write_markdown
-from corpusloom.plans.traverse import bfs, traverse, walk
+from corpusloom.plans.traverse import bfs, traverse, walk, walk_with_hooks
 from corpusloom.sources import fetch, sitemap
 from corpusloom.streaming.pages import domain_counts, page_stream, process_stream
 
@@ -96,6 +96,54 @@ def test_config():
     assert keyword_list("a, b  c") == ("a", "b", "c")
 
 
+@pytest.mark.parametrize("strategy", ["dfs", "best-first"])
+def test_walk_hooks(spark, tmp_path, strategy):
+    rng = random.Random(4)
+    names = [f"/p{i}" for i in range(40)]
+    links = {n: rng.sample(names, 4) for n in names}
+    n, e = graph(spark, links, missing=names[5:9])
+    c = CrawlConfig((O + "/p0",), strategy=strategy, max_depth=6, max_pages=25, keywords=("3", "7"), batch=3)
+    want = traverse(n, e, c).orderBy("visit").collect()
+    assert len(want) >= 20
+    for step in (1, 7):
+        got = walk_with_hooks(n, e, c, on_progress=lambda x: None, step=step).orderBy("visit").collect()
+        assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    calls, seen = [], []
+    at = str(tmp_path / strategy)
+    part = walk_with_hooks(n, e, c, seen.append, lambda: calls.append(1) or len(calls) > 2, at, step=6).orderBy("visit").collect()
+    assert 12 <= len(part) < len(want) and part == want[: len(part)] and seen[0]["queued"] > 0 and seen[1]["pages_crawled"] > seen[0]["pages_crawled"]
+    assert walk_with_hooks(n, e, c, checkpoint=at, step=6).orderBy("visit").collect() == want
+    assert traverse(n, e, c, should_cancel=lambda: True).count() == 0
+
+
+def test_bfs_needs_no_single_task_for_a_level(spark):
+    n, e = graph(spark, TREE)
+    plan = bfs(n, e, CrawlConfig((O + "/",)))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_crawl_job(spark):
+    pages = spark.createDataFrame([(O + "/", "<a href='/a'>a</a>"), (O + "/a", "<a href='/b'>b</a>"), (O + "/b", "<p>end</p>")], "url string, html string")
+    maps = spark.createDataFrame([(O + "/sitemap.xml", f"<urlset><url><loc>{O}/b</loc></url><url><loc>{O}/a</loc></url></urlset>")], "url string, body string")
+    crawler = Crawler(spark, pages, maps)
+    config = crawler.seeded(O + "/", max_depth=0)
+    assert config.start_urls == (O + "/b", O + "/a")
+    job = crawler.start(config)
+    assert [r.url for r in job.wait().orderBy("visit").collect()] == [O + "/b", O + "/a"]
+    assert job.status()["state"] == "done"
+    job.clear()
+    assert job.wait().count() == 0
+    gone = crawler.start(CrawlConfig((O + "/",), max_depth=3))
+    gone.cancel()
+    assert gone.wait().count() <= 3 and gone.status()["state"] == "cancelled"
+    bad = Crawler(spark, pages.select("url")).start(config)
+    with pytest.raises(Exception):
+        bad.wait()
+    assert bad.status()["state"] == "failed"
+    with pytest.raises(ValueError, match="no such sitemap"):
+        crawler.seeded(O + "/", sitemap_url=O + "/nowhere.xml")
+
+
 def test_crawler(spark, tmp_path):
     pages = spark.createDataFrame([(O + "/", "<title>H</title><p>x</p><a href='/a'>a</a><a href='/gone'>g</a>"), (O + "/a", "<h1>A</h1><p>text</p>")], "url string, html string")
     out = Crawler(spark, pages).crawl(CrawlConfig((O + "/",)))
@@ -105,7 +153,7 @@ def test_crawler(spark, tmp_path):
     assert stats(out).first().asDict() == {"total": 3, "successful": 2, "failed": 1}
     assert [r.href for r in link_view(out).where("url = 'https://site.test/'").collect()] == [O + "/a", O + "/gone"] and media_view(out).count() == 0
     assert [r.word_count for r in sorted_by(out, "word_count", descending=True).collect()][-1] == 0
-    assert pretty_json(out).startswith("[\n  {")
+    assert pretty_json(out, 10).startswith("[\n  {")
     write_markdown(out, str(tmp_path / "md"))
     write_json(out, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 3
