@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom import session
 from corpusloom.llm.common import components
-from corpusloom.session import read_table, shared_dir, ship, staged
+from corpusloom.session import read_table, shared_dir, ship, staged, unstage
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 3
@@ -273,9 +274,18 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def line_links(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (b, a) with b > a between distinct lines (lid, line), as forests over the runs of all bands."""
+def line_links(lines: DataFrame, threshold: float = THRESHOLD, scrap: list[DataFrame] | None = None) -> DataFrame:
+    """Links (b, a) with b > a between distinct lines (lid, line), as forests over the runs of all bands.
+
+    `scrap` gets the tables that may go once the links have been read.
+    """
     spark = lines.sparkSession
+    scrap = [] if scrap is None else scrap
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        scrap.append(session.staged(df, name))
+        return scrap[-1]
+
     n_buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = staged(lines.select("lid", "line").mapInArrow(_bander(n_buckets), "bucket int, keys binary, lids binary, more binary"), "bands")
     heads = staged(packed.where("bucket >= 0").groupBy("bucket").applyInPandas(_runs, "run long, a long, b long, n long, m long"), "runs")
@@ -338,12 +348,15 @@ def dropped_lines(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
         # Different lines with one hash: each gets one of its own, in both tables.
         own = F.xxhash64(F.lit(2), F.col("line"))
         apart = staged(rows.join(shared, line_hash(F.col("line")) == F.col("sh")).select("doc_id", "th", "line_no", own.alias("h"), "line"), "apart")
-        where = where.join(shared, F.col("h") == F.col("sh"), "left_anti").unionByName(apart.drop("line"))
+        where = staged(where.join(shared, F.col("h") == F.col("sh"), "left_anti").unionByName(apart.drop("line")), "places")
         nodes = staged(table.where("not shared").select("lid", "line").unionByName(apart.groupBy(F.col("h").alias("lid")).agg(F.any_value("line").alias("line"))), "lines")
-    roots = staged(components(line_links(nodes, threshold), "b", "a"), "roots")
+    scrap: list[DataFrame] = []
+    roots = staged(components(line_links(nodes, threshold, scrap), "b", "a"), "roots")
     placed = where.groupBy("h").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("place"), F.count("*").alias("n"))
     grouped = staged(placed.join(roots, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("root"), "place", "n"), "grouped")
     spark.sql(f"DROP TABLE {name}")
+    for done in [*scrap, roots, table]:
+        unstage(done)
     best = grouped.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1).withColumnRenamed("root", "r")
     many = grouped.join(best, F.col("root") == F.col("r")).select("h", "first")
     return where.join(many, "h").where(~(F.col("first") == F.struct("doc_id", "th", "line_no"))).select("doc_id", "th", "line_no")
@@ -357,7 +370,9 @@ def staged_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     df.write.bucketBy(parts, key).option("path", path).saveAsTable(name)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.table(name)
+    out = spark.table(name)
+    out._corpusloom_path = path
+    return out
 
 
 def dedup_lines(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
