@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import filters, predicates, scorers, urls
 from corpusloom.functions.dom import parse
 from corpusloom.functions.markdown import cite
-from corpusloom.functions.scrape import srcset
+from corpusloom.functions.scrape import ScrapeOptions, srcset
 from corpusloom.operators import bm25
 from corpusloom.operators import pages as P
 from corpusloom.plans.config import CrawlConfig
@@ -375,3 +375,59 @@ def page_markdown(spark, d):
 @query()
 def page_bm25_chunks(spark, d):
     return bm25.scores(P.page_chunks(_pages(spark, d), keep=("page_id",)), "the tion of der que")
+
+
+def _orders(spark: SparkSession, d: str, html: Column) -> DataFrame:
+    """A page for each order, its key kept."""
+    return read_table(spark, d, "orders").select("o_orderkey", html.alias("html"), F.lit(SITE + "/shop/list").alias("url"))
+
+
+@query("""
+SELECT o_orderkey, '# Order ' || o_orderkey || chr(10) || chr(10) || 'Status **' || o_orderstatus || '** and _' || o_orderpriority || '_, see [more](' || '/o/' || o_orderkey || ').' AS raw_markdown,
+  CAST(9 + length(o_orderpriority) - length(replace(o_orderpriority, ' ', '')) AS INTEGER) AS word_count
+FROM orders
+""")
+def markdown_known(spark, d):
+    html = F.format_string("<title>t</title><nav></nav><script>x</script><h1>Order %d</h1><p>Status <b>%s</b> and <em>%s</em>, see <a href='/o/%d'>more</a>.</p>", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderkey")
+    done = P.process(_orders(spark, d, html), ("markdown", "word_count"), keep=("o_orderkey",), content_filter="none")
+    return done.select("o_orderkey", "markdown.raw_markdown", "word_count")
+
+
+@query("""
+SELECT o_orderkey, '<div class="k">' || o_orderpriority || ' plain ' || o_orderkey || '</div><pre></pre>' AS cleaned_html FROM orders
+""")
+def cleaned_known(spark, d):
+    """Exclusions, forms, attributes, empty elements, inline tags."""
+    html = F.format_string('<div class="k" onclick="x" data-n="%d">%s <b>plain</b> <span>%d</span></div><p> </p><section><p></p></section><form>f</form><aside>gone</aside><p class="ad">gone</p><pre><i></i></pre>', "o_orderkey", "o_orderpriority", "o_orderkey")
+    options = ScrapeOptions(excluded_tags=("aside",), excluded_selector=".ad", remove_forms=True, only_text=True)
+    return P.process(_orders(spark, d, html), ("cleaned_html",), keep=("o_orderkey",), scrape_options=options).select("o_orderkey", "cleaned_html")
+
+
+@query(f"""
+SELECT o_orderkey, v.kind, v.href || o_orderkey AS href, v.text, v.base_domain FROM orders, (VALUES
+  ('internal', '{SITE}/shop/p', 'same', 'example.com'), ('external', 'https://other.org/x', 'other', 'other.org')) v(kind, href, text, base_domain)
+""")
+def links_by_kind(spark, d):
+    """Internal and external links, each address once; social ones and a blocked domain left out."""
+    html = F.format_string('<a href="p%1$d">same</a><a href="p%1$d#top">again</a><a href="https://other.org/x%1$d"> other </a><a href="https://facebook.com/y%1$d">s</a><a href="https://sub.blocked.com/%1$d">b</a>', "o_orderkey")
+    return P.links(_orders(spark, d, html), keep=("o_orderkey",), scrape_options=ScrapeOptions(exclude_social_links=True, exclude_domains=("blocked.com",))).select("o_orderkey", "kind", "href", "text", "base_domain")
+
+
+@query("""
+SELECT o_orderkey, o_orderpriority AS note, 'c' || o_custkey AS who, CAST(o_custkey % 5 AS VARCHAR) AS stars, 'none' AS missing, o_orderstatus AS first_tag, 'x' AS second_tag FROM orders
+""")
+def extract_fields(spark, d):
+    """Nested, list, sibling, regex and default fields."""
+    html = F.format_string('<div class="row"><h3>h</h3></div><p class="note">%s</p><div class="row2" data-k="1"><div class="by"><b>c%d</b><i>%d stars</i></div><u>%s</u><u>x</u></div>', "o_orderpriority", "o_custkey", F.col("o_custkey") % 5, "o_orderstatus")
+    one = {"baseSelector": "div.row", "fields": [{"name": "note", "type": "text", "source": "+ p.note"}]}
+    two = {"baseSelector": "div.row2", "fields": [
+        {"name": "by", "selector": ".by", "type": "nested", "fields": [{"name": "who", "selector": "b", "type": "text"}, {"name": "stars", "selector": "i", "type": ["text", "regex"], "pattern": r"(\d+)"}]},
+        {"name": "tags", "selector": "u", "type": "list", "fields": [{"name": "tag", "type": "text"}]},
+        {"name": "missing", "selector": ".none", "type": "text", "default": "none"},
+    ]}
+    pages = _orders(spark, d, html)
+    notes = P.process(pages, ("extracted",), keep=("o_orderkey",), schema=one).select("o_orderkey", F.from_json("extracted", "array<struct<note:string>>")[0]["note"].alias("note"))
+    rest = F.from_json("extracted", "array<struct<by:struct<who:string,stars:string>,tags:array<struct<tag:string>>,missing:string>>")[0]
+    rest = P.process(pages, ("extracted",), keep=("o_orderkey",), schema=two).select(F.col("o_orderkey").alias("k"), rest.alias("r"))
+    out = notes.join(rest, F.col("o_orderkey") == F.col("k"))
+    return out.select("o_orderkey", "note", "r.by.who", "r.by.stars", "r.missing", F.get("r.tags", F.lit(0))["tag"].alias("first_tag"), F.get("r.tags", F.lit(1))["tag"].alias("second_tag"))
