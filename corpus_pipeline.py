@@ -2,6 +2,13 @@
 
 Stages keep the columns of documents (the last returns pieces). A row is known
 by its id and a hash of its text, so that rows that share an id do not mix.
+
+Defined results: null ids and null sources are kept as they are; rows that repeat
+an id and a text come out of the line stage once with text; null and empty texts
+pass the quality stage by their score and the line stage unchanged, form one
+group in the SimHash stage and are never taken by the mix; an empty table stays
+empty; columns beyond those of documents pass all stages but the last, unless
+their name starts with two underscores; one named dropped_lines is replaced.
 """
 
 from __future__ import annotations
@@ -22,14 +29,14 @@ def keep(docs: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects (score under 0.5) go; without labels all stay."""
     found = quality.featurised(docs)
     model = quality.fit(found, read_table(spark, sf_dir, "labels"))
     return keep(docs, quality.scored(found, model).where("score >= 0.5"))
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Redundant lines go, and with them documents that lose all their lines."""
+    """Redundant lines go, and with them documents that lose all their lines; of equal lines the first by id, null ids first, stays."""
     out = linededup.dedup_lines(docs)
     text = F.col("text")
     left = (F.size("dropped_lines") == 0) | text.rlike(r"[^\s]")
@@ -37,7 +44,7 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays; a group without ids keeps one."""
     rows = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     named = rows.groupBy("group", "doc_id").agg(F.min("th").alias("th")).select("doc_id", "th")
     kept = keep(docs, named).withColumn("__th", F.xxhash64("text"))
@@ -50,7 +57,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences, a null text being the end id alone."""
     return packing.pack(docs, public_path("word_bpe_49k.json"))
 
 
