@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import queries as core
 from corpusloom.operators import pages as P
+from corpusloom.sources import sitemap
 
 
 def test_cards_have_pages_of_bounded_size(spark, tmp_path):
@@ -20,3 +21,14 @@ def test_batches_are_cut():
     got = list(P.pieces(iter([b, b.slice(0, 0)]), "t"))
     assert [k for g in got for k in g.column("k").to_pylist()] == list(range(604))
     assert max(g.num_rows for g in got) <= P.PIECE_ROWS and all(sum(len(t or "") for t in g.column("t").to_pylist()) <= P.PIECE_BYTES for g in got)
+
+
+def test_sitemap_bodies_are_left_behind(spark, monkeypatch):
+    plans = []
+    kept = sitemap.staged
+    monkeypatch.setattr(sitemap, "staged", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, name))
+    s = "https://s.test"
+    bodies = spark.createDataFrame([(s + "/i.xml", f"<urlset><loc>{s}/1</loc><loc>{s}/2</loc></urlset>")], "url string, body string")
+    assert sitemap.sitemap_urls(bodies, bodies.select("url")).count() == 2
+    above, below = plans[0].split("Generate", 1)
+    assert "RLIKE" not in above and "RLIKE" in below
