@@ -32,3 +32,11 @@ def test_sitemap_bodies_are_left_behind(spark, monkeypatch):
     assert sitemap.sitemap_urls(bodies, bodies.select("url")).count() == 2
     above, below = plans[0].split("Generate", 1)
     assert "RLIKE" not in above and "RLIKE" in below
+
+
+def test_sitemap_limit_is_taken_in_each_task(spark):
+    s = "https://s.test"
+    bodies = spark.createDataFrame([(s + "/i.xml", "<urlset>" + "".join(f"<loc>{s}/{i}</loc>" for i in range(9)) + "</urlset>")], "url string, body string")
+    out = sitemap.sitemap_urls(bodies, bodies.select("url"), limit=3)
+    assert sorted(map(tuple, out.select("ordinal", "url").collect())) == [(i, f"{s}/{i}") for i in range(3)]
+    assert "WindowGroupLimit" in out._jdf.queryExecution().optimizedPlan().toString()
