@@ -40,3 +40,11 @@ def test_sitemap_limit_is_taken_in_each_task(spark):
     out = sitemap.sitemap_urls(bodies, bodies.select("url"), limit=3)
     assert sorted(map(tuple, out.select("ordinal", "url").collect())) == [(i, f"{s}/{i}") for i in range(3)]
     assert "WindowGroupLimit" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_one_row_group_are_dealt(spark, small):
+    """Each query over orders, one file of one row group, works in more than one task."""
+    for name in ("extract_fields", "links_by_kind", "markdown_known", "cleaned_known", "images_scored", "page_markdown"):
+        tree = core.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        below = tree[tree.rindex("MapInArrow") :]
+        assert "Repartition" in below and "Join" not in tree, name
