@@ -1,9 +1,14 @@
 """Work and memory that must not grow faster than the input."""
 
+import sys
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom import queries as core
+from corpusloom.functions.dom import parse
+from corpusloom.functions.markdown import _inside
+from corpusloom.functions.scrape import ScrapeOptions, scrape
 from corpusloom.operators import pages as P
 from corpusloom.sources import sitemap
 
@@ -48,3 +53,30 @@ def test_rows_of_one_row_group_are_dealt(spark, small):
         tree = core.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
         below = tree[tree.rindex("MapInArrow") :]
         assert "Repartition" in below and "Join" not in tree, name
+
+
+def test_markdown_is_linear_in_children():
+    html = lambda n: "<title>t</title>" + "".join(f'<a href="/c/{i}">x</a>' for i in range(n))
+
+    def steps(n):
+        counted = 0
+
+        def count(frame, event, arg):
+            nonlocal counted
+            counted += event == "line" or event == "call"
+            return count
+
+        page = parse(html(n))
+        sys.settrace(count)
+        try:
+            _inside(page.body)
+        finally:
+            sys.settrace(None)
+        return counted
+
+    assert steps(800) < 2.5 * steps(400)
+
+
+def test_excluded_images_go():
+    page = scrape(parse("<p>t<img src='https://o.org/i.png'><b>x</b><i></i></p>"), "https://e.com/", ScrapeOptions(exclude_external_images=True, only_text=True), ("cleaned_html",))
+    assert page["cleaned_html"] == "<p>tx</p>"
