@@ -2,6 +2,7 @@
 
 import sys
 
+import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -80,3 +81,13 @@ def test_markdown_is_linear_in_children():
 def test_excluded_images_go():
     page = scrape(parse("<p>t<img src='https://o.org/i.png'><b>x</b><i></i></p>"), "https://e.com/", ScrapeOptions(exclude_external_images=True, only_text=True), ("cleaned_html",))
     assert page["cleaned_html"] == "<p>tx</p>"
+
+
+def test_titles_with_a_reference_cut_off(spark, tmp_path):
+    pages = [(1, "https://www.e.com/a", "<title>a &amp; b&amp</title><a href='/x'>x</a>"), (2, "https://www.e.com/b", "<title>&copy;&ampx; &quot</title>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = {r.page_id: r.title for r in core.page_summary(spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(f"SELECT page_id, title FROM ({core.SQL['page_summary']})").fetchall())
+    assert parse("<title>b&amp</title>").first("title").text == "b&"
