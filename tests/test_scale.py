@@ -11,6 +11,8 @@ from corpusloom.functions.dom import parse
 from corpusloom.functions.markdown import _inside
 from corpusloom.functions.scrape import ScrapeOptions, scrape
 from corpusloom.operators import pages as P
+from corpusloom.plans import traverse
+from corpusloom.plans.config import CrawlConfig
 from corpusloom.sources import sitemap
 
 
@@ -91,3 +93,14 @@ def test_titles_with_a_reference_cut_off(spark, tmp_path):
     got = {r.page_id: r.title for r in core.page_summary(spark, str(tmp_path)).collect()}
     assert got == dict(con.execute(f"SELECT page_id, title FROM ({core.SQL['page_summary']})").fetchall())
     assert parse("<title>b&amp</title>").first("title").text == "b&"
+
+
+def test_walks_hold_numbers(spark):
+    """The one task of a walk gets no addresses."""
+    s = "https://s.test/"
+    nodes = spark.createDataFrame([(s + p,) for p in "abc"], "url string")
+    edges = spark.createDataFrame([(s + "a", s + "c", 0, "internal"), (s + "a", s + "b", 1, "internal"), (s + "c", s + "x", 0, "internal")], "src string, dst string, ordinal int, kind string")
+    out = traverse.walk(nodes, edges, {"k": CrawlConfig((s + "a",), strategy="dfs", max_depth=3)})
+    assert [(r.url[-1], r.depth, (r.parent_url or "-")[-1], r.success) for r in out.orderBy("visit").collect()] == [("a", 0, "-", True), ("c", 1, "a", True), ("x", 2, "c", False), ("b", 1, "a", True)]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInArrow" in plan and "FlatMapGroupsInPandas" not in plan
