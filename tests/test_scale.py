@@ -104,3 +104,8 @@ def test_walks_hold_numbers(spark):
     assert [(r.url[-1], r.depth, (r.parent_url or "-")[-1], r.success) for r in out.orderBy("visit").collect()] == [("a", 0, "-", True), ("c", 1, "a", True), ("x", 2, "c", False), ("b", 1, "a", True)]
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "FlatMapGroupsInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_scores_leave_in_pieces(spark, small):
+    tree = core.pruning_score(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in tree and "ArrowEvalPython" not in tree and "Repartition" in tree
