@@ -1,12 +1,15 @@
 """Work and memory that must not grow faster than the input."""
 
+import gc
 import sys
 
 import duckdb
+import pytest
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom import queries as core
+from corpusloom.functions import dom
 from corpusloom.functions.dom import parse
 from corpusloom.functions.markdown import _inside
 from corpusloom.functions.scrape import ScrapeOptions, scrape
@@ -109,3 +112,57 @@ def test_walks_hold_numbers(spark):
 def test_scores_leave_in_pieces(spark, small):
     tree = core.pruning_score(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in tree and "ArrowEvalPython" not in tree and "Repartition" in tree
+
+
+CARD = '<div class="k" onclick="x" data-n="%d">t <b>plain</b> <span>%d</span></div><p> </p><section><p></p></section><form>f</form><aside>gone</aside><p class="ad">gone</p><pre><i></i></pre>'
+CLEAN = ScrapeOptions(excluded_tags=("aside",), excluded_selector=".ad", remove_forms=True, only_text=True)
+
+
+def test_a_short_page_takes_few_calls():
+    """Calls of Python and of built-ins, which time follows; the garbage collector is another test's."""
+    clean = lambda i: P.process_html(CARD % (i, i), "https://e.com/", ("cleaned_html",), scrape_options=CLEAN)["cleaned_html"]
+    calls, out = 0, clean(0)
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        for i in range(1, 11):
+            out = clean(i)
+    finally:
+        sys.setprofile(None)
+    assert out == '<div class="k">t plain 10</div><pre></pre>' and calls < 10 * 600
+
+
+@pytest.mark.parametrize("content_filter", ["readability", "pruning-legacy", "bm25", "none"])
+def test_pages_are_let_go_at_once(content_filter):
+    """No page waits for the garbage collector."""
+    html = "<title>t</title>" + CARD % (1, 1) + "<b><p>a</b>b</p>" + f"<p>{'Some words, and more of them. ' * 30}</p><nav class='popup'>n<i>x</i></nav>"
+    options = ScrapeOptions(excluded_selector=".ad", css_selector="", exclude_external_links=True)
+    alive = lambda: sum(isinstance(x, dom.Node) for x in gc.get_objects())
+    P.process_html(html, "https://e.com/", content_filter=content_filter, scrape_options=options)
+    gc.collect()
+    before = alive()
+    gc.disable()
+    try:
+        for _ in range(3):
+            assert P.process_html(html, "https://e.com/", content_filter=content_filter, scrape_options=options, overlays=True)["cleaned_html"]
+        assert alive() == before
+    finally:
+        gc.enable()
+
+
+def test_tags_met_before_read_alike():
+    pages = ['<a title=">" href=x>a</a>', "<a title='>'>a</a>", '<a"b>c</a"b>', '<p class="k>t</p>"x>u', "<p class='k>t</p>v", "<P CLASS=k>t</P >", "<p/><br/>t</p/>", "<pre>\nt</pre><textarea>\n<b></textarea>", "<!--<p>--><p>", "<p"]
+    dom._MET.clear()
+    cold = []
+    for h in pages:
+        cold.append(parse(h).outer_html)
+        dom._MET.clear()
+    for h in pages * 2:
+        page = parse(h)
+        assert page.outer_html == cold[pages.index(h)]
+        for e in page.walk():
+            e.attrs["more"] = "x"
